@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docsieve.llm.copies import collapse_copies
 from docsieve.llm.neardup import near_duplicates, record_pairs
 from docsieve.llm.sql import SQL
+from docsieve.llm.vectors import neighbour_pairs, neighbours
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return record_pairs(*near_duplicates(table(spark, folder, "opensearch"), order_col="indexed_at"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records of which at least one is among the ten most similar of the other."""
+    return neighbour_pairs(neighbours(table(spark, folder, "opensearch"), order_col="indexed_at", k=10, least=0.7))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Copies that differ in writing or field order only, each with the record kept for it."""
     _, members = collapse_copies(table(spark, folder, "opensearch"), order_col="indexed_at")
