@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm.copies import collapse_copies
+from docsieve.llm.density import density_clusters, similar_groups
+from docsieve.llm.leaks import leaks
 from docsieve.llm.neardup import near_duplicates, record_pairs
+from docsieve.llm.spam import spam_pages, spam_share
 from docsieve.llm.sql import SQL
 from docsieve.llm.vectors import neighbour_pairs, neighbours
 
@@ -27,12 +30,47 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(neighbours(table(spark, folder, "opensearch"), order_col="indexed_at", k=10, least=0.7))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Members of the largest sets of rows of a session all of whose pairs have similarity 0.85 or more."""
+    found = similar_groups(table(spark, folder, "active_learner"), least=0.85)
+    return found.where("id <> first_id").select(F.col("first_id").alias("first_frame_id"), F.col("id").alias("frame_id"))
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Density clusters of each session with size, mean prediction and most typical rows."""
+    found = density_clusters(table(spark, folder, "active_learner"))
+    return found.select(F.col("grp").alias("session_id"), F.col("cluster").alias("first_frame_id"), "size", F.round("mean_value", 9).alias("mean_prediction"), F.col("exemplars").alias("typical_frame_ids"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Copies that differ in writing or field order only, each with the record kept for it."""
     _, members = collapse_copies(table(spark, folder, "opensearch"), order_col="indexed_at")
     return members.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with at least 12 consecutive words of an evaluation passage."""
+    found = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with one character of the twelve words inserted, deleted or replaced at most."""
+    found = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), edits=1)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "edits")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of which more than half is keywords, links, menus or product tags."""
+    return spam_pages(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"))
+
+
+def p8_share(spark: SparkSession, folder: str) -> DataFrame:
+    """By language found: documents, and those with any and with mostly spam."""
+    share = spam_share(table(spark, folder, "documents"))
+    return share.groupBy("language").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("share") > 0).alias("with_spam"), F.count_if(F.col("share") > 0.5).alias("mostly_spam"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 

@@ -129,12 +129,14 @@ def sampled(df: DataFrame, id_col: str, vector_col: str, dimension: int, n: int)
     return unit(matrix(got.column("v"), dimension)) if got.num_rows else np.zeros((0, dimension))
 
 
-def routed(df: DataFrame, lists: Lists, dimension: int) -> DataFrame:
-    """``(grp, list, ib, qb, role, rid, v)`` from ``(grp, rid, v)``: role 1 is a candidate, 2 a query, 3 both."""
+def routed(df: DataFrame, lists: Lists, dimension: int, extra: int = 0) -> DataFrame:
+    """``(grp, list, ib, qb, role, rid, v)`` from ``(grp, rid, v)``: role 1 is a candidate, 2 a query, 3 both.
+
+    ``v`` may carry ``extra`` values after the ``dimension`` of the vector.
+    """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(lists)
     kinds = dict(df.dtypes)
-    key = lambda rid: abs(hash_of(rid))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -142,14 +144,14 @@ def routed(df: DataFrame, lists: Lists, dimension: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = matrix(batch.column("v"), dimension)
-            near = own.nearest(unit(vectors).astype(np.float32))
+            vectors = matrix(batch.column("v"), dimension + extra)
+            near = own.nearest(unit(vectors[:, :dimension]).astype(np.float32))
             row = np.repeat(np.arange(len(near)), near.shape[1])
             to = near.ravel()
             role = np.tile(np.array([3] + [2] * (near.shape[1] - 1)), len(near))
             ib = qb = np.zeros(len(row), np.int64)
             if cut[to].any():
-                salt = np.array([key(x) for x in batch.column("rid").to_pylist()])
+                salt = np.array([hash_of(x) for x in batch.column("rid").to_pylist()])
                 parts = []
                 for r, t, kind in zip(row.tolist(), to.tolist(), role.tolist(), strict=True):
                     wide, high = int(own.index_blocks[t]), int(own.query_blocks[t])
@@ -329,26 +331,33 @@ def neighbours(df: DataFrame, id_col: str = "id", vector_col: str = "embedding",
     tasks; nothing is capped. What is approximate is that only ``probes`` lists are looked into
     (recall against brute force is measured in the tests).
     """
-    kind = dict(df.dtypes)[id_col]
     clean = newest_rows(df.where(F.col(id_col).isNotNull()).select(*dict.fromkeys([id_col, vector_col, *([order_col] if order_col else [])])), id_col, order_col, [vector_col])
     rows = clean.where(usable(vector_col, dimension)).select(F.lit(0).alias("grp"), F.col(id_col).alias("rid"), F.transform(vector_col, lambda x: x.cast("float")).alias("v"))
     n = df.count()
     lists = fit_lists(sampled(rows, "rid", "v", dimension, n), n, rows_per_list, probes, seed)
+    return neighbours_of(rows, lists, dimension, k, least, ["list", "ib", "qb"]).drop("grp")
+
+
+def neighbours_of(rows: DataFrame, lists: Lists, dimension: int, k: int, least: float, cell: list[str]) -> DataFrame:
+    """``(grp, id, near)``: the ``k`` most similar rows of each row ``(grp, rid, v)`` among those that share a cell with it."""
+    kinds = dict(rows.dtypes)
     rotation = lists.rotation
 
     def search(table: pa.Table) -> pa.Table:
         ids, role, vectors = distinct_rows(table, dimension)
         row, other, score = search_block(ids, role, vectors, rotation, k, least)
         starts = np.r_[0, np.nonzero(np.diff(row))[0] + 1] if len(row) else np.zeros(0, np.int64)
-        pairs = pa.StructArray.from_arrays([pa.array(score), pa.array(ids[other])], names=["similarity", "id"])
+        kind = table.schema.field("rid").type
+        pairs = pa.StructArray.from_arrays([pa.array(score), pa.array(ids[other], kind)], names=["similarity", "id"])
         offsets = pa.array(np.r_[starts, len(row)].astype(np.int32))
-        return pa.table({"id": pa.array(ids[row[starts]], pairs.type.field("id").type), "near": pa.ListArray.from_arrays(offsets, pairs)})
+        grp = pa.array([table.column("grp")[0].as_py()] * len(starts), table.schema.field("grp").type)
+        return pa.table({"grp": grp, "id": pa.array(ids[row[starts]], kind), "near": pa.ListArray.from_arrays(offsets, pairs)})
 
-    near_type = f"array<struct<similarity:double,id:{kind}>>"
-    part = routed(rows, lists, dimension).groupBy("list", "ib", "qb").applyInArrow(search, f"id {kind}, near {near_type}")
+    schema = f"grp {kinds['grp']}, id {kinds['rid']}, near array<struct<similarity:double,id:{kinds['rid']}>>"
+    part = routed(rows, lists, dimension).groupBy(*cell).applyInArrow(search, schema)
     ascending = F.array_sort(F.transform(F.flatten(F.collect_list("near")), lambda x: F.struct((-x["similarity"]).alias("far"), x["id"].alias("id"))))
-    best = part.groupBy("id").agg(F.slice(ascending, 1, k).alias("near"))
-    return best.select("id", F.transform("near", lambda x: F.struct((-x["far"]).alias("similarity"), x["id"].alias("id"))).alias("near"))
+    best = part.groupBy("grp", "id").agg(F.slice(ascending, 1, k).alias("near"))
+    return best.select("grp", "id", F.transform("near", lambda x: F.struct((-x["far"]).alias("similarity"), x["id"].alias("id"))).alias("near"))
 
 
 def neighbour_pairs(near: DataFrame) -> DataFrame:
