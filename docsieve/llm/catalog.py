@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from docsieve.llm.copies import collapse_copies
 from docsieve.llm.density import density_clusters, similar_groups
 from docsieve.llm.leaks import leaks
 from docsieve.llm.neardup import near_duplicates, record_pairs
+from docsieve.llm.packing import packed_containers, token_counts
 from docsieve.llm.spam import spam_pages, spam_share
 from docsieve.llm.sql import SQL
+from docsieve.llm.subset import varied_subset
 from docsieve.llm.vectors import neighbour_pairs, neighbours
 
 
@@ -25,6 +29,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return record_pairs(*near_duplicates(table(spark, folder, "opensearch"), order_col="indexed_at"))
 
 
+def p2_select(spark: SparkSession, folder: str) -> DataFrame:
+    """As many varied rows of each session as it evaluates in an iteration."""
+    found = varied_subset(table(spark, folder, "active_learner"), table(spark, folder, "sessions"))
+    return found.select(F.col("grp").alias("session_id"), F.col("id").alias("frame_id"), "pick")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records of which at least one is among the ten most similar of the other."""
     return neighbour_pairs(neighbours(table(spark, folder, "opensearch"), order_col="indexed_at", k=10, least=0.7))
@@ -48,6 +58,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return members.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in containers of each capacity, by tokens of a public tokenizer."""
+    sizes = table(spark, folder, "context_sizes").select("size_id", "capacity_tokens").orderBy("size_id").collect()
+    counts = token_counts(table(spark, folder, "documents")).persist(StorageLevel.MEMORY_AND_DISK)
+    packs = [packed_containers(counts, s["capacity_tokens"]).select(F.lit(s["size_id"]).alias("size_id"), F.col("id").alias("doc_id"), "part", "token_from", "tokens", "container") for s in sizes]
+    return reduce(DataFrame.unionByName, packs)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with at least 12 consecutive words of an evaluation passage."""
     found = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
