@@ -32,12 +32,27 @@ class BagMinHash:
         """Number of grid steps at or below each weight."""
         return np.searchsorted(np.asarray(self.grid), weights, side="right")
 
-    def _exponential(self, words: np.ndarray, registers: np.ndarray, node: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-        """Exp(1) and an independent uniform number for each word, register and node of the split."""
-        key = np.uint64((self.seed * 0x9E3779B97F4A7C15 + node * 0xD1B54A32D192ED03 + salt) & 0xFFFFFFFFFFFFFFFF)
-        raw = mixed((words[:, None] ^ mixed(registers[None, :] + key)))
-        time = -np.log(((raw >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24))
-        return time, ((raw >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24)
+    def _random(self, words: np.ndarray, registers: np.ndarray, node: int, salt: int) -> np.ndarray:
+        """24 random bits for each word and register at a node of the split, as numbers inside (0, 1)."""
+        key = mixed(registers + np.uint64(self.seed * 1_000_003 + node * 2 + salt)).astype(np.uint32)
+        out = np.empty((len(words), len(registers)), np.float32)
+        for begin in range(0, len(words), 4_096):  # blocks that stay in the cache
+            x = words[begin : begin + 4_096, None] ^ key[None, :]
+            for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+                x ^= x >> np.uint32(shift)
+                x *= np.uint32(factor)
+            x ^= x >> np.uint32(16)
+            x >>= np.uint32(8)
+            part = out[begin : begin + 4_096]
+            np.copyto(part, x, casting="unsafe")
+            part += np.float32(0.5)
+            part *= np.float32(2.0**-24)
+        return out
+
+    def _waits(self, words: np.ndarray, registers: np.ndarray, node: int, salt: int) -> np.ndarray:
+        """Waiting times of rate 1."""
+        waits = np.log(self._random(words, registers, node, salt))
+        return np.negative(waits, out=waits)
 
     def _arrivals(self, words: np.ndarray, levels: np.ndarray, registers: np.ndarray) -> np.ndarray:
         edges = np.concatenate([[0.0], self.grid])
@@ -49,7 +64,7 @@ class BagMinHash:
                 continue
             node = low * 1_000 + high
             if first is None:
-                first = self._exponential(words[rows], registers, node, 0)[0] / np.float32(edges[high] - edges[low])
+                first = self._waits(words[rows], registers, node, 0) / np.float32(edges[high] - edges[low])
             whole = levels[rows] >= high
             best[rows[whole]] = np.minimum(best[rows[whole]], first[whole])
             rows, first = rows[~whole], first[~whole]
@@ -57,7 +72,7 @@ class BagMinHash:
                 continue
             middle = (low + high) // 2
             rate_low, rate_high = edges[middle] - edges[low], edges[high] - edges[middle]
-            later, place = self._exponential(words[rows], registers, node, 1)
+            later, place = self._waits(words[rows], registers, node, 1), self._random(words[rows], registers, node + 1_000_000, 0)
             in_low = place < rate_low / (rate_low + rate_high)
             first_low = np.where(in_low, first, first + later / np.float32(rate_low))
             first_high = np.where(in_low, first + later / np.float32(rate_high), first)
@@ -70,11 +85,11 @@ class BagMinHash:
     def signatures(self, words: np.ndarray, weights: np.ndarray | None, starts: np.ndarray) -> np.ndarray:
         """One row of ``registers`` unsigned 32-bit values per record.
 
-        ``words`` are 64-bit word hashes of all records one after another, ``starts`` where each
+        ``words`` are 32-bit word hashes of all records one after another, ``starts`` where each
         record begins; every record has at least one word of weight >= grid[0].
         """
         levels = np.ones(len(words), np.int64) if weights is None else self.level(weights)
-        tagged = mixed(words) + levels.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+        tagged = words.astype(np.uint64) | levels.astype(np.uint64) << np.uint64(32)
         _, first, where = np.unique(tagged, return_index=True, return_inverse=True)
         own_words, own_levels = words[first], levels[first]
         out = np.empty((len(starts), self.registers), np.float32)

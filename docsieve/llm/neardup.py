@@ -12,47 +12,62 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.bagminhash import GRID, BagMinHash, band_keys, bit_sketch
-from docsieve.llm.text import WORD, WordHashes
+from docsieve.llm.text import WORD, WordHashes, mixed
+from docsieve.plans.durable import durable
 
 #: Bits of the sketch that each band row carries.
 SKETCH_BITS = 128
+#: Word hashes that a worker remembers.
+MOST_WORDS = 1_000_000
 
 
 def word_classes(df: DataFrame, id_col: str, text_cols: list[str], order_col: str | None, min_words: int, multiset: bool) -> DataFrame:
-    """``(rid, seen, h, n, w[, c])``: each row's words as sorted hashes ``w`` (and counts ``c``), their class ``h`` and weight ``n``.
+    """``(rid, seen, h, n, w[, c])``: each row's class of equal words ``h`` and its number of words ``n``.
 
-    Rows with fewer than ``min_words`` distinct words keep their place with ``h`` null: if the
-    newest version of an id is too short, older versions must not stand in for it.
+    ``w`` are hashes of the words (``c`` their counts), given once for each class of a batch and
+    null in its other rows. Rows with fewer than ``min_words`` distinct words keep their place with
+    ``h`` null: if the newest version of an id is too short, older ones must not stand in for it.
     """
     order = F.col(order_col).cast("timestamp") if order_col else F.lit(None).cast("timestamp")
     source = df.select(F.col(id_col).cast("string").alias("rid"), order.alias("seen"), F.concat_ws(" ", *[F.col(c) for c in text_cols]).alias("t")).where("rid is not null")
-    counts = ", c array<int>" if multiset else ""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            hashes = WordHashes()
-            key, n, words, weights = [], [], [], []
+            if len(hashes) > MOST_WORDS:
+                hashes.clear()
+            flat, sizes, counts = [], [], []
             for text in batch.column("t").to_pylist():
-                bag = Counter(WORD.findall(text.lower())) if multiset else dict.fromkeys(WORD.findall(text.lower()), 1)
-                if len(bag) < min_words:
-                    key.append(None), n.append(None), words.append(None), weights.append(None)
-                    continue
-                own = np.fromiter((hashes[w] for w in bag), np.uint64, len(bag))
-                order = np.argsort(own)
-                own = own[order]
-                count = np.fromiter(bag.values(), np.int32, len(bag))[order]
-                key.append(xxhash.xxh3_64_intdigest(own.tobytes() + (count.tobytes() if multiset else b"")) - 2**63)
-                n.append(int(count.sum())), words.append(own.view(np.int64)), weights.append(count)
-            columns = [batch.column("rid"), batch.column("seen"), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(words, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(weights, pa.list_(pa.int32()))] * multiset, names=["rid", "seen", "h", "n", "w", "c"][: 5 + multiset])
-
-    return source.mapInArrow(classes, f"rid string, seen timestamp, h long, n int, w array<long>{counts}")
+                found = WORD.findall(text.lower())
+                bag = Counter(found) if multiset else set(found)
+                enough = len(bag) >= min_words and len(bag) > 0
+                sizes.append(len(bag) if enough else 0)
+                if enough:
+                    flat.extend(map(hashes.__getitem__, bag))
+                    if multiset:
+                        counts.extend(bag.values())
+            words, size = np.array(flat, np.uint64), np.array(sizes, np.int64)
+            count = np.array(counts, np.int32) if multiset else np.ones(len(words), np.int32)
+            kept = np.nonzero(size)[0]
+            ends = np.cumsum(size)
+            h, n = np.zeros(len(size), np.uint64), np.zeros(len(size), np.int64)
+            if len(kept):  # a sum of scrambled hashes does not depend on the order of the words
+                at = (ends - size)[kept]
+                h[kept] = mixed(np.add.reduceat(mixed(words + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at))
+                n[kept] = np.add.reduceat(count, at)
+            first = np.zeros(len(size), bool)
+            first[kept[np.unique(h[kept], return_index=True)[1]]] = True
+            carried = np.repeat(first, size)
+            offsets = np.r_[0, np.cumsum(np.where(first, size, 0))].astype(np.int32)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[carried]), mask=pa.array(~first))  # noqa: E731, B023
+            columns = [batch.column("rid"), batch.column("seen"), pa.array(h.view(np.int64), mask=size == 0), pa.array(n.astype(np.int32), mask=size == 0), lists(words.astype(np.uint32).view(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns + [lists(count)] * multiset, names=["rid", "seen", "h", "n", "w", "c"][: 5 + multiset])
+
+    return source.mapInArrow(classes, "rid string, seen timestamp, h long, n int, w array<int>" + ", c array<int>" * multiset)
 
 
 def class_bands(classes: DataFrame, hashing: BagMinHash, bands: int, rows: int, multiset: bool) -> DataFrame:
@@ -61,15 +76,12 @@ def class_bands(classes: DataFrame, hashing: BagMinHash, bands: int, rows: int,
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = pa.Table.from_batches([batch]).combine_chunks()
-            h = batch.column("h").to_numpy()
-            _, first = np.unique(h, return_index=True)
-            if not len(first):
+            if not batch.num_rows:
                 continue
-            batch = batch.take(pa.array(np.sort(first))).combine_chunks()
             lists = batch.column("w").chunk(0)
             starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
-            words = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            weights = batch.column("c").chunk(0).values.to_numpy(zero_copy_only=False).astype(float) if multiset else None
+            words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+            weights = batch.column("c").chunk(0).flatten().to_numpy(zero_copy_only=False).astype(float) if multiset else None
             signatures = hashing.signatures(words, weights, starts - starts[0])
             keys, sketch = band_keys(signatures, bands, rows), bit_sketch(signatures, SKETCH_BITS)
             offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
@@ -79,7 +91,7 @@ def class_bands(classes: DataFrame, hashing: BagMinHash, bands: int, rows: int,
             )
 
     columns = ["h", "n", "w"] + ["c"] * multiset
-    made = classes.where("h is not null").select(*columns).mapInArrow(keyed, "h long, n int, s0 long, s1 long, keys array<long>")
+    made = classes.where("w is not null").select(*columns).mapInArrow(keyed, "h long, n int, s0 long, s1 long, keys array<long>")
     return made.select(F.explode("keys").alias("k"), "h", "n", "s0", "s1")
 
 
@@ -100,36 +112,33 @@ def near_duplicates(
     Returns ``(members, links)``: ``members(id, h)`` gives each record's class of equal words,
     ``links(h_a, h_b, similarity)`` the pairs of different classes (``h_a < h_b``) that reach the
     threshold. Similarity is the size of the common words over that of all words of both, as sets or,
-    with ``multiset``, counting repetitions. Every link reported is exact; a pair at the threshold
-    itself is missed with a probability of (1 - threshold**rows)**bands, one further above
-    it with far less.
+    with ``multiset``, counting repetitions; words are compared by 32-bit hashes, so that a pair is
+    counted one word too high about twice in a million. A pair at the threshold itself is missed
+    with a probability of about (1 - threshold**rows)**bands + 0.002, one further above it with far less.
 
     Null texts count as empty; records with fewer than ``min_words`` distinct words take no part;
     null ids are dropped; of repeated ids the row with the latest ``order_col`` counts (ties and no
     ``order_col``: the largest class number). Other columns are ignored, whatever their names. An empty
     table gives two empty results.
     """
-    classes = word_classes(df, id_col, list(text_cols), order_col, min_words, multiset).persist(StorageLevel.MEMORY_AND_DISK)
+    classes = word_classes(df, id_col, list(text_cols), order_col, min_words, multiset)
     newest = classes.groupBy("rid").agg(F.max(F.struct("seen", "h")).alias("m"))
-    members = newest.select(F.col("rid").alias("id"), F.col("m.h").alias("h")).where("h is not null")
+    members = durable(newest.select(F.col("rid").alias("id"), F.col("m.h").alias("h")).where("h is not null"))
 
     hashing = BagMinHash(bands * rows, GRID if multiset else (1.0,), seed)
-    banded = class_bands(classes, hashing, bands, rows, multiset).groupBy("k", "h").agg(F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    banded = class_bands(classes, hashing, bands, rows, multiset).repartition("k").groupBy("k", "h").agg(F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
     a, b = (banded.select("k", *[F.col(c).alias(c + side) for c in ("h", "n", "s0", "s1")]) for side in "ab")
     same = (1 + threshold) / 2
-    most = int(SKETCH_BITS * (1 - same) + 3.2 * sqrt(SKETCH_BITS * same * (1 - same)))
+    most = int(SKETCH_BITS * (1 - same) + 3.0 * sqrt(SKETCH_BITS * same * (1 - same)))
     differ = F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))) + F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b")))
     alike = (F.col("ha") < F.col("hb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (differ <= most)
-    candidates = a.join(b, "k").where(alike).select("ha", "hb").distinct()
+    candidates = a.join(b, "k").where(alike).select("ha", "hb").repartition("ha").distinct()
 
-    bags = classes.where("h is not null").select("h", "n", "w", *["c"] * multiset).dropDuplicates(["h"])
+    items = F.flatten(F.zip_with("w", "c", lambda w, c: F.transform(F.sequence(F.lit(1), c), lambda o: F.hash(w, o)))) if multiset else F.col("w")
+    bags = classes.where("w is not null").select("h", "n", items.alias("w")).repartition("h").dropDuplicates(["h"])
     left, right = (bags.select(*[F.col(c).alias(c + side) for c in bags.columns]) for side in "ab")
     both = candidates.join(left, "ha").join(right, "hb")
-    if multiset:
-        counts = lambda side: F.map_from_arrays("w" + side, "c" + side)
-        shared = F.aggregate(F.map_values(F.map_zip_with(counts("a"), counts("b"), lambda _, x, y: F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))), F.lit(0), lambda s, x: s + x)
-    else:
-        shared = F.size(F.array_intersect("wa", "wb"))
+    shared = F.size(F.array_intersect("wa", "wb"))
     similarity = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     links = both.select("ha", "hb", "na", "nb", shared.alias("shared")).select(F.col("ha").alias("h_a"), F.col("hb").alias("h_b"), similarity.alias("similarity"))
     return members, links.where(F.col("similarity") >= threshold - 1e-9)
