@@ -14,6 +14,10 @@ from docsieve.operators.labels import class_weights
 from docsieve.schema import POSITIVE
 
 
+#: Training rows up to which one partition holds them.
+SMALL = 20_000
+
+
 class Classifier(ABC):
     """What a loop needs: to be fitted on labelled rows and to score any rows."""
 
@@ -45,6 +49,8 @@ class BalancedLogisticRegression(Classifier):
         n = sum(count for count, _ in weights.values())
         label = F.col(label_col)
         ready = rows.where(label.isNotNull()).select(array_to_vector(doubles(vector_col)).alias("features"), label.cast("double").alias("label"), F.when(label, weights[True][1]).otherwise(weights[False][1]).alias("weight"))
+        if n <= SMALL:  # every step of the solver is a job over these rows
+            ready = ready.coalesce(1)
         self.model = LogisticRegression(regParam=1 / (self.c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=self.max_iter, tol=self.tol).fit(ready)
         return self
 
