@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table to the shared checkpoint folder and read back from there; the order of rows is not kept.
+
+    A table carries nothing of the plan that made it. ``DataFrame.checkpoint`` hands on the constraints of its plan, and in a
+    loop of self-joins these grow exponentially. The tables stay until the folder is emptied.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,6 +18,7 @@ from docsieve.operators.classifier import BalancedLogisticRegression, Classifier
 from docsieve.operators.metrics import flip_rate_of_sets
 from docsieve.operators.ranking import centroids, furthest, nearest
 from docsieve.operators.sampling import stratified_diverse
+from docsieve.plans.durable import durable
 from docsieve.providers import Embedder, Evaluator, Generator
 
 #: Share of changed positives below which a run stops.
@@ -160,16 +161,14 @@ class ActiveLearner:
                 chosen = F.coalesce("gt", chosen)
             found = rows.where(chosen).withColumnRenamed("prediction", "score")
         found = found.select(*self.corpus.columns, "score").orderBy(F.desc("score"), "id")
-        results = found
         if folder:
             found.write.parquet(str(folder / "results.parquet"))
-            results = spark.read.parquet(str(folder / "results.parquet"))
+            written = spark.read.parquet(str(folder / "results.parquet"))
             if model is not None:
                 model.model.write().overwrite().save(str(folder / "model"))
         else:
-            from docsieve.plans.durable import durable
-
-            results = durable(found)
+            written = durable(found)
+        results = written.orderBy(F.desc("score"), "id")  # files may be read in any order
         total, positive = corpus.count(), results.count()
         if predicted is not None:
             predicted.unpersist()
