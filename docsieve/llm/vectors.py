@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.llm.text import named_apart
+
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 16_384
 #: Lists at most, so that the centroids that every task receives stay under 4096 * dimension * 4 bytes.
@@ -43,13 +45,14 @@ def newest_rows(df: DataFrame, id_col: str, order_col: str | None, payload: list
     """
     order = F.col(order_col).cast("timestamp") if order_col else F.lit(None).cast("timestamp")
     mark = F.xxhash64(*payload)
+    key, win = named_apart(df.columns, "version_key", "version_mark")
     per_id = df.select(F.col(id_col).alias("i"), order.alias("o"), mark.alias("m")).groupBy("i").agg(F.max(F.struct("o", "m")).alias("last"), (F.min("m") != F.max("m")).alias("differ"))
-    winners = per_id.where("differ").select("i", F.col("last.m").alias("win"))
+    winners = per_id.where("differ").select(F.col("i").alias(key), F.col("last.m").alias(win))
     found = winners.limit(BROADCAST_ROWS + 1).count()
     if not found:
         return df
     winners = F.broadcast(winners) if found <= BROADCAST_ROWS else winners
-    return df.join(winners, F.col(id_col) == F.col("i"), "left").where(F.col("win").isNull() | (F.col("win") == mark)).select(*df.columns)
+    return df.join(winners, F.col(id_col) == F.col(key), "left").where(F.col(win).isNull() | (F.col(win) == mark)).select(*df.columns)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
