@@ -84,7 +84,7 @@ def stratified_diverse(rows: DataFrame, n: int, prediction_col: str = "predictio
         k = min(budget, size)
         if k > 1:
             ranged = own.withColumn("__features", array_to_vector(doubles(vector_col))).repartitionByRange(max(1, min(size // 10_000, 512)), id_col).sortWithinPartitions(id_col)
-            model = KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="cluster", maxIter=10, initSteps=2).fit(ranged)
+            model = KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="cluster", maxIter=10, initSteps=2, solver="row").fit(ranged)
             own = model.transform(ranged).drop("__features")
         else:
             own = own.withColumn("cluster", F.lit(0))
