@@ -33,6 +33,7 @@ class Settings:
     n_per_iteration: int = 20
     c: float = 1.0
     settled: float = SETTLED
+    tol: float = 1e-6
     seed: int = 42
     trust_labels: bool = False
 
@@ -133,7 +134,7 @@ class ActiveLearner:
                 say(f"iteration {iteration}: only one class, skipped")
                 continue
             training = corpus.select("id", "embedding").join(label_frame(), "id").select("embedding", "gt").unionByName(examples.select("embedding", "gt"))
-            model = BalancedLogisticRegression(s.c).fit(training)
+            model = BalancedLogisticRegression(s.c, tol=s.tol).fit(training)
             before, predicted = predicted, model.predict(corpus).persist(StorageLevel.MEMORY_AND_DISK)
             now = predicted.where(is_positive(F.col("prediction"))).select("id")
             rate = flip_rate_of_sets(positives, now).first()["flip_rate"] if positives is not None else None
