@@ -64,6 +64,16 @@ def test_recall_where_few_lists_are_probed(spark):
     assert len(pairs & want) >= 0.9 * len(want)
 
 
+def test_recall_in_a_diffuse_group_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(128)
+    x = np.concatenate([centre + 0.42 * rng.standard_normal((2_000, 128)), rng.standard_normal((4_000, 128))]).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:04}", [float(f) for f in v]) for i, v in enumerate(x)], "id string, embedding array<float>")
+    pairs = {(int(r["id_a"][1:]), int(r["id_b"][1:])) for r in neighbour_pairs(neighbours(df, k=10, least=0.7, rows_per_list=60)).collect()}
+    want = {(min(i, j), max(i, j)) for i, n in brute(x, 10, 0.7).items() for j in n}
+    assert len(want) > 10_000 and len(pairs & want) >= 0.95 * len(want)
+
+
 def test_exact_copies_and_hot_lists_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors_module, "BLOCK_ROWS", 40)
     x = np.concatenate([np.repeat(clustered(sizes=(1,))[:1], 130, axis=0), clustered(sizes=(70,), spread=0.3)])
