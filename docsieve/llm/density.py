@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.hierarchy import Hierarchy, cliques, dense_forest, density_hierarchy, edge_cosines, sparse_forest
+from docsieve.functions.vector import dot, normalised, vector_mean
+from docsieve.llm.hierarchy import Hierarchy, cliques, dense_forest, density_hierarchy, edge_cosines, sparse_forest, split_cliques
 from docsieve.llm.vectors import close_pairs, distinct_rows, fit_lists, grouped_equal, neighbours_of, newest_rows, packed, routed, sampled, unit, unpacked, usable
 from docsieve.plans.durable import durable
 
-#: Rows up to which a group, and a component that is checked pair by pair, is handled in one task.
+#: Rows up to which a group, and a component or a block of one that is checked pair by pair, is handled in one task.
 GROUP_ROWS = 8_192
 #: Edges up to which the forest of a group is finished in one task.
 GROUP_EDGES = 2_000_000
@@ -317,7 +318,7 @@ def similar_groups(df: DataFrame, group_col: str = "session_id", id_col: str = "
         return result
     edges = group_edges(large, dimension, 1, furthest, rows_per_list, probes, 4, seed)
 
-    comps = connected(edges, group_edges_most)
+    comps = durable(connected(edges, group_edges_most))
     sizes = comps.groupBy("grp", "comp").count()
     checked = comps.join(sizes.where(F.col("count") <= GROUP_ROWS).select("grp", "comp"), ["grp", "comp"]).join(large, ["grp", "rid"])
 
@@ -326,8 +327,75 @@ def similar_groups(df: DataFrame, group_col: str = "session_id", id_col: str = "
         return clusters(table, ids, cliques(unit(vectors), np.zeros(len(ids), np.int64), least))
 
     sound = pack_rows(checked).groupBy("grp", "comp").applyInArrow(check, schema)
-    huge = comps.join(sizes.where(F.col("count") > GROUP_ROWS).select("grp", "comp"), ["grp", "comp"]).select("grp", F.col("comp").alias("first_id"), F.col("rid").alias("id"))
-    return result.unionByName(sound).unionByName(huge)
+    huge = comps.join(sizes.where(F.col("count") > GROUP_ROWS).select("grp", "comp", F.col("count").alias("size")), ["grp", "comp"])
+    if huge.isEmpty():
+        return result.unionByName(sound)
+    return result.unionByName(sound).unionByName(huge_cliques(durable(pack_rows(huge.join(large, ["grp", "rid"]).dropDuplicates(["grp", "rid"]))), least, dimension))
+
+
+def huge_cliques(rows: DataFrame, least: float, dimension: int) -> DataFrame:
+    """``(grp, first_id, id)``: what ``cliques`` makes of each component of ``(grp, comp, rid, size, v)``, ``v`` packed.
+
+    A component within half the angle of its mean is found sound by an aggregate. The rows of the others are counted
+    against each other block by block, which shows whether all pairs fit. Only a component with a pair that does not is split,
+    in one task that holds its vectors but no matrix of its pairs.
+    """
+    kinds = dict(rows.dtypes)
+    grp, rid = kinds["grp"], kinds["rid"]
+    schema = f"grp {grp}, first_id {rid}, id {rid}"
+    half = float(np.cos(np.arccos(least) / 2) + 1e-9)
+
+    def units(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = unit(unpacked(batch.column("v"), dimension))
+                yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("comp"), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dimension, dtype=np.int32)), pa.array(v.ravel()))], names=["grp", "comp", "u"])
+
+    exact = rows.select("grp", "comp", "v").mapInArrow(units, f"grp {grp}, comp {rid}, u array<double>")
+    means = exact.groupBy("grp", "comp").agg(normalised(vector_mean("u")).alias("mean"))
+    # components have more than GROUP_ROWS rows each, so that their means are few
+    least_dot = exact.join(F.broadcast(means), ["grp", "comp"]).groupBy("grp", "comp").agg(F.min(F.coalesce(dot("u", "mean"), F.lit(-1.0))).alias("dot"))
+    tight = durable(least_dot.select("grp", "comp", (F.col("dot") >= half).alias("tight")))
+    marked = rows.join(F.broadcast(tight), ["grp", "comp"])
+    whole = marked.where("tight").select("grp", "comp", "rid")
+    open_ = marked.where("not tight")
+
+    blocks = F.ceil(F.col("size") / F.lit(GROUP_ROWS)).cast("int")
+    own = open_.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = own.select("grp", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "v")
+
+    def count(table: pa.Table) -> pa.Table:
+        v = unit(unpacked(table.column("v"), dimension))
+        block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        first, second = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
+        partners = np.zeros(len(v), np.int64)
+        for b in range(0, len(first), 512):
+            part = first[b : b + 512]
+            fits = np.round(v[part] @ v[second].T, 6) >= least
+            partners[part] += fits.sum(axis=1)
+            if i != j:
+                partners[second] += fits.sum(axis=0)
+        return pa.table({"grp": repeated(table, "grp", len(v)), "comp": repeated(table, "comp", len(v)), "rid": table.column("rid"), "partners": partners})
+
+    counted = cells.groupBy("grp", "comp", "i", "j").applyInArrow(count, f"grp {grp}, comp {rid}, rid {rid}, partners long")
+    degrees = durable(counted.groupBy("grp", "comp", "rid").agg(F.sum("partners").alias("degree")))
+    fit = durable(degrees.groupBy("grp", "comp").agg((F.min("degree") == F.count(F.lit(1))).alias("fit")))
+    whole = whole.unionByName(degrees.join(F.broadcast(fit.where("fit").drop("fit")), ["grp", "comp"]).select("grp", "comp", "rid"))
+
+    def split(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("rid").to_numpy(zero_copy_only=False), kind="stable")))
+        ids = table.column("rid").to_numpy(zero_copy_only=False)
+        label = split_cliques(unit(unpacked(table.column("v"), dimension)), table.column("degree").to_numpy().copy(), least)
+        order = np.lexsort((ids, label))
+        order = order[label[order] >= 0]
+        starts = np.r_[True, np.diff(label[order]) != 0] if len(order) else np.zeros(0, bool)
+        first = ids[order][starts][np.cumsum(starts) - 1] if len(order) else ids[:0]
+        kind = table.schema.field("rid").type
+        return pa.table({"grp": repeated(table, "grp", len(order)), "first_id": pa.array(first, kind), "id": pa.array(ids[order], kind)})
+
+    unfit = open_.join(F.broadcast(fit.where("not fit").drop("fit")), ["grp", "comp"]).join(degrees, ["grp", "comp", "rid"]).select("grp", "comp", "rid", "degree", "v")
+    first = whole.groupBy("grp", "comp").agg(F.min("rid").alias("first_id"))
+    return whole.join(first, ["grp", "comp"]).select("grp", "first_id", F.col("rid").alias("id")).unionByName(unfit.groupBy("grp", "comp").applyInArrow(split, schema))
 
 
 def density_clusters(df: DataFrame, group_col: str = "session_id", id_col: str = "frame_id", vector_col: str = "embedding", value_col: str = "prediction", order_col: str | None = "scored_at", min_samples: int = 2, min_cluster_size: int = 3, least: float = 0.5, exemplars: int = 3, dimension: int = 128, group_rows: int = GROUP_ROWS, group_edges_most: int = GROUP_EDGES, rows_per_list: int = 1_500, probes: int = 3, seed: int = 7) -> DataFrame:

@@ -215,5 +215,43 @@ def cliques(vectors: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
+def split_cliques(vectors: np.ndarray, degree: np.ndarray, least: float, tile: int = 1_024) -> np.ndarray:
+    """The split of ``cliques`` for one component of any size: labels, -1 for rows without a partner.
+
+    ``degree`` is the number of partners of each row, itself included. Similarities are computed in tiles, so that memory
+    grows with the rows and not with their square.
+    """
+    n = len(vectors)
+    out, left, degree, number = np.full(n, -1, np.int64), np.ones(n, bool), degree.copy(), 0
+    while True:
+        degree[~left] = -1
+        seed = int(degree.argmax())
+        if degree[seed] < 2:
+            return out
+        near = vectors @ vectors[seed]
+        order = np.argsort(-near, kind="stable")
+        order = order[left[order] & (np.round(near[order], 6) >= least) & (order != seed)]
+        members = [seed]
+        for begin in range(0, len(order), tile):
+            part = order[begin : begin + tile]
+            for b in range(0, len(members), tile):
+                part = part[(np.round(vectors[part] @ vectors[members[b : b + tile]].T, 6) >= least).all(axis=1)]
+            fits = np.round(vectors[part] @ vectors[part].T, 6) >= least
+            fine, added = np.ones(len(part), bool), []
+            for i in range(len(part)):
+                if fine[i]:
+                    added.append(i)
+                    fine &= fits[i]
+            members += part[added].tolist()
+        left[members] = False
+        rest = np.nonzero(left)[0]
+        for begin in range(0, len(rest), tile):
+            part = rest[begin : begin + tile]
+            for b in range(0, len(members), tile):
+                degree[part] -= (np.round(vectors[part] @ vectors[members[b : b + tile]].T, 6) >= least).sum(axis=1)
+        if len(members) > 1:
+            out[members], number = number, number + 1
+
+
 def edge_cosines(vectors: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return cosines(vectors, vectors, a, b)

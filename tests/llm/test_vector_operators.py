@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsieve.llm import vectors as vectors_module
+from docsieve.llm import density as density_module
 from docsieve.llm.density import contracted, density_clusters, similar_groups
 from docsieve.llm.hierarchy import cliques, dense_forest, density_hierarchy, sparse_forest
 from docsieve.llm.subset import pivoted, varied_subset
@@ -131,6 +132,18 @@ def test_components_with_a_distant_pair_are_split():
     assert label[3] == -1 and label[1] >= 0 and (label[:3] == label[1]).sum() == 2
 
 
+def test_components_above_the_size_of_a_task_are_checked_and_split_alike(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    angle = np.deg2rad(np.r_[rng.uniform(0, 60, 90), rng.uniform(180, 190, 70), rng.uniform(270, 301, 60)])  # a chain, a tight group, one that fits only pair by pair
+    x = np.zeros((len(angle), 16), np.float32)
+    x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
+    df = sessions(spark, x, groups=1)
+    found = lambda **o: {(r["first_id"], r["id"]) for r in similar_groups(df, least=0.85, dimension=16, **o).collect()}
+    want = found()
+    monkeypatch.setattr(density_module, "GROUP_ROWS", 40)
+    assert found(group_rows=50, rows_per_list=500) == want and len({first for first, _ in want}) > 3
+
+
 def kruskal(d, furthest):
     n = len(d)
     i, j = np.triu_indices(n, 1)
