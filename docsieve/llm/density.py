@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.vector import dot, normalised, vector_mean
 from docsieve.llm.hierarchy import Hierarchy, cliques, dense_forest, density_hierarchy, edge_cosines, sparse_forest, split_cliques
-from docsieve.llm.vectors import close_pairs, distinct_rows, fit_lists, grouped_equal, neighbours_of, newest_rows, packed, routed, sampled, unit, unpacked, usable
+from docsieve.llm.vectors import distinct_rows, fit_lists, grouped_equal, neighbours_of, newest_rows, packed, routed, sampled, unit, unpacked, usable
 from docsieve.plans.durable import durable
 
 #: Rows up to which a group, and a component or a block of one that is checked pair by pair, is handled in one task.
@@ -47,8 +47,11 @@ def split_by_size(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | No
     return rows.join(large, "grp", "left_anti"), rows.join(large, "grp", "left_semi")
 
 
-def squared_core(vectors: np.ndarray, copies: np.ndarray, min_samples: int) -> np.ndarray:
-    """Squared distance to the ``min_samples``-th nearest row, the row itself included; copies count as rows."""
+def squared_core(vectors: np.ndarray, copies: np.ndarray, min_samples: int, furthest: float = np.inf) -> np.ndarray:
+    """Squared distance to the ``min_samples``-th nearest row, the row itself included; copies count as rows.
+
+    Where fewer rows lie within ``furthest``, it is the distance to the last of these, so that small groups of their own stay groups.
+    """
     core = np.zeros(len(vectors))
     wanted = np.nonzero(copies < min_samples)[0]
     if not len(wanted):
@@ -64,6 +67,8 @@ def squared_core(vectors: np.ndarray, copies: np.ndarray, min_samples: int) -> n
         at = np.where(covered.any(axis=1), covered.argmax(axis=1), covered.shape[1] - 1)
         core[part] = np.take_along_axis(near_d, order, axis=1)[np.arange(len(part)), at]
         core[part[~covered.any(axis=1)]] = np.inf
+        beyond = np.nonzero(core[part] > furthest)[0]
+        core[part[beyond]] = np.where(near_d[beyond] <= furthest, near_d[beyond], 0).max(axis=1, initial=0)
     return core
 
 
@@ -85,7 +90,7 @@ def local_forest(vectors: np.ndarray, min_samples: int, furthest: float) -> tupl
     """Edges of the spanning forest over all rows of a group; exact copies hang on their first row."""
     where, first = grouped_equal(vectors)
     exact = unit(vectors[first])
-    core = squared_core(exact, np.bincount(where, minlength=len(first)), min_samples)
+    core = squared_core(exact, np.bincount(where, minlength=len(first)), min_samples, furthest + 1e-6)
     a, b, w = dense_forest(exact, core, furthest + 1e-6)
     copy = np.nonzero(first[where] != np.arange(len(where)))[0]
     near = np.maximum(core[where[copy]], 0)
@@ -150,15 +155,14 @@ def renamed(df: DataFrame, up: DataFrame, column: str) -> DataFrame:
     return df.join(to, ["grp", column], "left").withColumn(column, F.coalesce("to_", column)).drop("to_").select(*df.columns)
 
 
-def group_edges(large: DataFrame, dimension: int, min_samples: int, furthest: float, rows_per_list: int, probes: int, per_row: int, seed: int) -> DataFrame:
+def group_edges(large: DataFrame, dimension: int, min_samples: int, furthest: float, rows_per_list: int, probes: int, seed: int) -> DataFrame:
     """``(grp, a, b, w)``: forests of the blocks of the large groups, whose union holds their spanning forest but for edges beyond the probes."""
     kinds = dict(large.dtypes)
     n = large.count()
     lists = fit_lists(sampled(large, "rid", "v", dimension, n), n, rows_per_list, probes, seed)
-    rotation = lists.rotation
     if min_samples > 1:
         near = neighbours_of(large, lists, dimension, min_samples - 1, 1 - furthest / 2, ["grp", "list", "ib", "qb"])
-        core = near.where(F.size("near") >= min_samples - 1).select("grp", F.col("id").alias("rid"), (2 - 2 * F.element_at("near", -1)["similarity"]).cast("float").alias("core"))
+        core = near.select("grp", F.col("id").alias("rid"), (2 - 2 * F.element_at("near", -1)["similarity"]).cast("float").alias("core"))
         large = large.join(core, ["grp", "rid"], "left").select("grp", "rid", F.concat("v", F.array(F.coalesce("core", F.lit(float("inf")).cast("float")))).alias("v"))
         extra = 1
     else:
@@ -166,23 +170,13 @@ def group_edges(large: DataFrame, dimension: int, min_samples: int, furthest: fl
 
     def forest(table: pa.Table) -> pa.Table:
         grp = table.column("grp")[0].as_py()
-        ids, role, wide = distinct_rows(table, dimension + extra)
+        ids, _, wide = distinct_rows(table, dimension + extra)
         core = wide[:, dimension].astype(float) if extra else np.zeros(len(ids))
         vectors = np.ascontiguousarray(wide[:, :dimension])
-        home = np.nonzero(role & 1)[0]
-        where, first = grouped_equal(vectors[home])
-        own = home[first]
-        exact = unit(vectors)
-        a, b, w = dense_forest(exact[own], core[own], furthest + 1e-6) if len(own) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        copy = np.nonzero(first[where] != np.arange(len(home)))[0]
-        edges = [(own[a], own[b], w), (home[first[where[copy]]], home[copy], core[home[copy]])]
-        query = np.nonzero(role == 2)[0]
-        if len(query) and len(own):
-            qi, ci = close_pairs(exact[query], exact[own], rotation, per_row, furthest)
-            qi, ci = query[qi], own[ci]
-            d = np.maximum(2 - 2 * np.einsum("ij,ij->i", exact[qi], exact[ci]), np.maximum(core[qi], core[ci])) if len(qi) else np.zeros(0)
-            edges.append((qi, ci, d))
-        a, b, w = (np.concatenate(x) for x in zip(*edges, strict=True))
+        where, first = grouped_equal(vectors)  # rows of other lists that probe this one meet all its rows, and each other
+        a, b, w = dense_forest(unit(vectors[first]), core[first], furthest + 1e-6)
+        copy = np.nonzero(first[where] != np.arange(len(where)))[0]
+        a, b, w = np.r_[first[a], first[where[copy]]], np.r_[first[b], copy], np.r_[w, np.maximum(core[first[where[copy]]], core[copy])]
         fine = (w <= furthest + 1e-6) & (a != b)
         a, b, w = a[fine], b[fine], w[fine]
         keep = sparse_forest(len(ids), a, b, w)
@@ -316,7 +310,7 @@ def similar_groups(df: DataFrame, group_col: str = "session_id", id_col: str = "
     result = pack_rows(small).groupBy("grp").applyInArrow(cut_small, schema)
     if large is None:
         return result
-    edges = group_edges(large, dimension, 1, furthest, rows_per_list, probes, 4, seed)
+    edges = group_edges(large, dimension, 1, furthest, rows_per_list, probes, seed)
 
     comps = durable(connected(edges, group_edges_most))
     sizes = comps.groupBy("grp", "comp").count()
@@ -398,12 +392,12 @@ def huge_cliques(rows: DataFrame, least: float, dimension: int) -> DataFrame:
     return whole.join(first, ["grp", "comp"]).select("grp", "first_id", F.col("rid").alias("id")).unionByName(unfit.groupBy("grp", "comp").applyInArrow(split, schema))
 
 
-def density_clusters(df: DataFrame, group_col: str = "session_id", id_col: str = "frame_id", vector_col: str = "embedding", value_col: str = "prediction", order_col: str | None = "scored_at", min_samples: int = 2, min_cluster_size: int = 3, least: float = 0.5, exemplars: int = 3, dimension: int = 128, group_rows: int = GROUP_ROWS, group_edges_most: int = GROUP_EDGES, rows_per_list: int = 1_500, probes: int = 3, seed: int = 7) -> DataFrame:
+def density_clusters(df: DataFrame, group_col: str = "session_id", id_col: str = "frame_id", vector_col: str = "embedding", value_col: str = "prediction", order_col: str | None = "scored_at", min_samples: int = 5, min_cluster_size: int = 3, least: float = 0.5, exemplars: int = 3, dimension: int = 128, group_rows: int = GROUP_ROWS, group_edges_most: int = GROUP_EDGES, rows_per_list: int = 1_500, probes: int = 3, seed: int = 7) -> DataFrame:
     """``(grp, cluster, size, mean_value, exemplars)``: density clusters of every group.
 
     ``cluster`` is the smallest id of the cluster, ``exemplars`` its most persistent members: those that stay in it up
     to the highest density (ties: the smaller id). Distances are Euclidean between unit vectors, smoothed by the distance to
-    the ``min_samples``-th row (the row itself counts); rows further apart than similarity ``least`` never meet.
+    the ``min_samples``-th row (the row itself counts; where fewer are within reach, to the last of these); rows further apart than similarity ``least`` never meet.
     Clusters are chosen by excess of mass among those of at least ``min_cluster_size`` rows. Rows outside
     of all clusters are left out. What takes part is as in ``similar_groups``.
     """
@@ -421,7 +415,7 @@ def density_clusters(df: DataFrame, group_col: str = "session_id", id_col: str =
 
     members = pack_rows(small.select("grp", "rid", "v")).groupBy("grp").applyInArrow(local, schema)
     if large is not None:
-        edges = group_edges(large.select("grp", "rid", "v"), dimension, min_samples, furthest, rows_per_list, probes, 8, seed)
+        edges = group_edges(large.select("grp", "rid", "v"), dimension, min_samples, furthest, rows_per_list, probes, seed)
         members = members.unionByName(condensed(edges, min_cluster_size, furthest, group_edges_most))
     values = rows.groupBy(F.col("rid").alias("id")).agg(F.max("value").alias("value"))
     valued = members.join(values, "id")

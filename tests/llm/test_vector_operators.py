@@ -193,6 +193,18 @@ def test_density_clusters(spark, options):
     assert len({r["cluster"] for r in found}) == len(found)
 
 
+@pytest.mark.parametrize("options", [{}, {"group_rows": 50, "rows_per_list": 1_000}])
+def test_noise_between_dense_groups_does_not_chain_them(spark, options):
+    rng = np.random.default_rng(12)
+    across = lambda degrees: np.stack([np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))] + [0 * degrees] * 14, axis=1)
+    ends = [across(np.full(40, m)) + 0.0165 * rng.standard_normal((40, 16)) for m in (0.0, 60.0)]
+    x = np.concatenate([*ends, across(np.arange(3, 60, 5.2)), across(np.array([180.0, 181, 182]))]).astype(np.float32)
+    sizes = lambda **o: {r["cluster"]: r["size"] for r in density_clusters(sessions(spark, x, groups=1), dimension=16, **options, **o).collect()}
+    plain, smooth = sizes(min_samples=2), sizes()
+    assert max(plain.values()) > 85 and sorted(smooth.values())[-2] >= 36 and max(smooth.values()) < 60, (plain, smooth)
+    assert smooth[len(x) - 3] == 3  # fewer rows within reach than min_samples are still a cluster
+
+
 # --- subsets -------------------------------------------------------------------------------------------------------
 
 
