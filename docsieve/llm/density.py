@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.vector import dot, normalised, vector_mean
-from docsieve.llm.hierarchy import Hierarchy, cliques, dense_forest, density_hierarchy, edge_cosines, sparse_forest, split_cliques
+from docsieve.llm.hierarchy import Band, Hierarchy, cliques, dense_forest, density_hierarchy, edge_cosines, sparse_forest, split_cliques
 from docsieve.llm.vectors import distinct_rows, fit_lists, grouped_equal, neighbours_of, newest_rows, packed, routed, sampled, unit, unpacked, usable
 from docsieve.plans.durable import durable
 
@@ -24,8 +24,6 @@ GROUP_ROWS = 8_192
 GROUP_EDGES = 2_000_000
 #: Groups up to which their names are broadcast.
 BROADCAST_GROUPS = 10_000
-#: Shares at which the weights of a forest too large for one task are looked up.
-QUANTILES = [i / 200 for i in range(1, 201)]
 
 
 def usable_rows(df: DataFrame, group_col: str, id_col: str, vector_col: str, value_col: str, order_col: str | None, dimension: int) -> DataFrame:
@@ -218,50 +216,88 @@ def connected(edges: DataFrame, most: int) -> DataFrame:
 def condensed(edges: DataFrame, least_size: int, furthest: float, most: int) -> DataFrame:
     """``(grp, cluster, id, persistence)``: the density hierarchy of the spanning forest of ``(grp, a, b, w)``.
 
-    The forest of a group with more than ``most`` edges is split at a weight: the components of its light edges
-    become points of their size, so that the hierarchy above them fits one task; inside of them
-    clusters are not told apart.
+    The forest of a group with more than ``most`` edges is condensed in bands of ``most`` edges, lightest first: each band hands the
+    state of its components upward (size, mass, what the clusters inside are worth), and what was selected above them comes
+    back down. The result is that of one task over the whole forest.
     """
     kinds = dict(edges.dtypes)
     rid, grp = kinds["a"], kinds["grp"]
     names, taken, left = contracted(edges, most)
+    root = 1 / max(furthest**0.5, 1e-6)
 
     def forest(table: pa.Table) -> pa.Table:
         ids, a, b = indexed(table, "ca", "cb")
         return table.take(sparse_forest(len(ids), a, b, table.column("w").to_numpy())).select(["grp", "a", "b", "w"])
 
-    light = None
-    if names is not None:
-        whole = durable(taken.unionByName(left.groupBy("grp").applyInArrow(forest, f"grp {grp}, a {rid}, b {rid}, w double")))
-        share = F.lit(0.9 * most) / F.count(F.lit(1))
-        cuts = whole.groupBy("grp").agg(F.count(F.lit(1)).alias("edges"), share.alias("share"), F.percentile_approx("w", QUANTILES, 10_000).alias("q")).where(F.col("edges") > most)
-        cuts = cuts.select("grp", F.element_at("q", F.greatest(F.lit(1), F.ceil((1 - F.col("share")) * len(QUANTILES))).cast("int")).alias("cut"))
-        marked = whole.join(cuts, "grp", "left")
-        light, _, _ = contracted(marked.where("w <= cut").select("grp", "a", "b", "w"), 0)
-        heavy = marked.where("cut is null or w > cut").select("grp", F.col("a").alias("ca"), F.col("b").alias("cb"), "a", "b", "w")
-        left = heavy if light is None else renamed(renamed(heavy, light.select("grp", F.col("v").alias("c"), F.col("c").alias("up")), "ca"), light.select("grp", F.col("v").alias("c"), F.col("c").alias("up")), "cb")
-    sizes = left.select("grp", "ca").limit(0).select("grp", F.col("ca").alias("c"), F.lit(1).alias("size")) if light is None else light.groupBy("grp", "c").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    if light is not None:
-        for side in ("ca", "cb"):
-            left = left.join(sizes.select("grp", F.col("c").alias(side), F.col("size").alias("size_" + side)), ["grp", side], "left")
-        left = left.fillna(1, ["size_ca", "size_cb"])
-
     def hierarchy(table: pa.Table) -> pa.Table:
         ids, a, b = indexed(table, "ca", "cb")
         w = table.column("w").to_numpy()
-        size = np.ones(len(ids), np.int64)
-        if "size_ca" in table.column_names:
-            size[a], size[b] = table.column("size_ca").to_numpy(), table.column("size_cb").to_numpy()
         keep = sparse_forest(len(ids), a, b, w)
-        found = density_hierarchy(len(ids), a[keep], b[keep], np.sqrt(np.maximum(w[keep], 0)), least_size, furthest**0.5, size)
+        found = density_hierarchy(len(ids), a[keep], b[keep], np.sqrt(np.maximum(w[keep], 0)), least_size, furthest**0.5)
         return clusters_of(repeated(table, "grp", 1), table.schema.field("ca").type, ids, found)
 
-    found = left.groupBy("grp").applyInArrow(hierarchy, f"grp {grp}, cluster {rid}, id {rid}, persistence double")
-    if light is None:
-        return found
-    named = light.join(found.select("grp", F.col("id").alias("c"), "cluster", "persistence"), ["grp", "c"], "left").join(sizes, ["grp", "c"])
-    inside = named.where((F.col("cluster").isNotNull()) | (F.col("size") >= least_size)).select("grp", F.coalesce("cluster", "c").alias("cluster"), F.col("v").alias("id"), F.coalesce("persistence", F.lit(0.0)).alias("persistence"))
-    return inside.unionByName(found.join(light.select("grp", F.col("c").alias("id")).distinct(), ["grp", "id"], "left_anti").select("grp", "cluster", "id", "persistence"))
+    if names is None:
+        return left.groupBy("grp").applyInArrow(hierarchy, f"grp {grp}, cluster {rid}, id {rid}, persistence double")
+
+    whole = taken.unionByName(left.groupBy("grp").applyInArrow(forest, f"grp {grp}, a {rid}, b {rid}, w double"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("w", F.least("a", "b"), F.greatest("a", "b")))
+    whole = durable(whole.withColumn("place", place).withColumn("band", F.floor((F.col("place") - 1) / F.lit(most)).cast("int")))
+    last = whole.agg(F.max("band")).first()[0] or 0
+    state_kind = "size long, mass double, below double, clustered boolean"
+
+    def band_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table, Band]:
+        table = table.take(pa.array(np.argsort(table.column("place").to_numpy())))
+        ids, a, b = indexed(table, "ca", "cb")
+        state = []
+        for name in ("size", "mass", "below", "clustered"):
+            at = {x: table.column(f"{name}_{x}").to_numpy(zero_copy_only=False) for x in ("ca", "cb")}
+            out = np.zeros(len(ids), at["ca"].dtype)
+            out[a], out[b] = at["ca"], at["cb"]
+            state.append(out)
+        return ids, a, table, Band(len(ids), a, b, np.sqrt(np.maximum(table.column("w").to_numpy(), 0)), least_size, *state)
+
+    def upward(table: pa.Table) -> pa.Table:
+        ids, _, _, band = band_of(table)
+        lead = band.leaders()
+        size, mass, below, clustered = band.states(lead)
+        return pa.table({"grp": repeated(table, "grp", len(ids)), "v": pa.array(ids, table.schema.field("ca").type), "c": pa.array(ids[lead], table.schema.field("ca").type), "size": size, "mass": mass, "below": below, "clustered": clustered})
+
+    def downward(table: pa.Table) -> pa.Table:
+        ids, a, table, band = band_of(table)
+        kind = table.schema.field("ca").type
+        lead = band.leaders()
+        above, place_of = [None] * len(ids), [0.0] * len(ids)
+        for x, label, persistence in zip(lead[a].tolist(), table.column("label").to_pylist(), table.column("persistence").to_pylist(), strict=True):
+            above[x], place_of[x] = label, persistence
+        label, persistence = band.selected(lead, above, place_of, ids.tolist())
+        return pa.table({"grp": repeated(table, "grp", len(ids)), "c": pa.array(ids, kind), "label": pa.array(label, kind), "persistence": pa.array(persistence, pa.float64())})
+
+    names = state = None
+    bands: list[tuple[DataFrame, DataFrame]] = []
+    for i in range(last + 1):
+        own = whole.where(F.col("band") == i).select("grp", F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "place")
+        if names is not None:
+            up = names.select("grp", F.col("v").alias("c"), F.col("c").alias("up"))
+            own = renamed(renamed(own, up, "ca"), up, "cb")
+        for side in ("ca", "cb"):
+            known = state.select("grp", F.col("c").alias(side), *[F.col(n).alias(f"{n}_{side}") for n in ("size", "mass", "below", "clustered")]) if state is not None else None
+            own = own.join(known, ["grp", side], "left") if known is not None else own.selectExpr("*", *[f"cast(null as {k.split()[1]}) as {k.split()[0]}_{side}" for k in state_kind.split(", ")])
+            own = own.fillna({f"size_{side}": 1, f"mass_{side}": 0.0, f"below_{side}": 0.0, f"clustered_{side}": False})
+        own = durable(own)
+        moved = durable(own.groupBy("grp").applyInArrow(upward, f"grp {grp}, v {rid}, c {rid}, {state_kind}"))
+        bands.append((own, moved))
+        step = moved.select("grp", F.col("v").alias("c"), F.col("c").alias("up"))
+        fresh = moved.select("grp", "v", "c")
+        names = durable(fresh if names is None else renamed(names, step, "c").unionByName(fresh.join(names.select("grp", "v"), ["grp", "v"], "left_anti")))
+        ends = moved.where("v = c").drop("v")
+        state = durable(ends if state is None else state.join(moved.select("grp", F.col("v").alias("c")), ["grp", "c"], "left_anti").unionByName(ends))
+    worth = F.col("clustered") & (F.col("below") <= F.col("mass") - F.col("size") * F.lit(root))
+    fate = state.select("grp", "c", F.when(worth, F.col("c")).alias("label"), F.lit(0.0).alias("persistence"))
+    for own, moved in reversed(bands):
+        of_point = moved.select("grp", F.col("v").alias("ca"), F.col("c").alias("end")).join(fate.withColumnRenamed("c", "end"), ["grp", "end"], "left").drop("end")
+        down = own.join(of_point, ["grp", "ca"], "left").groupBy("grp").applyInArrow(downward, f"grp {grp}, c {rid}, label {rid}, persistence double")
+        fate = durable(fate.join(moved.select("grp", F.col("v").alias("c")), ["grp", "c"], "left_anti").unionByName(down))
+    return fate.where("label is not null").select("grp", F.col("label").alias("cluster"), F.col("c").alias("id"), "persistence")
 
 
 def clusters_of(grp: pa.Array, kind: pa.DataType, ids: np.ndarray, found: Hierarchy) -> pa.Table:

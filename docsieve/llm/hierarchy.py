@@ -179,6 +179,92 @@ def density_hierarchy(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray
     return Hierarchy(lookup[inner], persistence)
 
 
+class Band:
+    """The part of ``density_hierarchy`` that some consecutive edges of a forest make, ``edges`` lightest first.
+
+    A point is a component of lighter edges: ``size`` rows, and if ``clustered``, an open cluster of mass ``mass`` whose
+    children are worth ``below``.
+    """
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray, least_size: int, size: np.ndarray, mass: np.ndarray, below: np.ndarray, clustered: np.ndarray):
+        self.sets, self.size = Sets(n), size.tolist()
+        self.mass: list[float] = []
+        self.count: list[int] = []
+        self.parent: list[int] = []
+        self.birth: list[float] = []
+        self.below: list[float] = []
+        self.start, self.inner, self.persistence = size.tolist(), np.full(n, -1, np.int64), np.zeros(n)
+        self.cluster: dict[int, int] = {}
+        small: dict[int, list[int]] = {}
+        most = 1e6
+        for p, has in enumerate(clustered.tolist()):
+            if has:
+                c = self._new()
+                self.mass[c], self.count[c], self.below[c] = float(mass[p]), self.size[p], float(below[p])
+                self.inner[p] = self.cluster[p] = c
+            else:
+                small[p] = [p]
+        for x, y, d in zip(a.tolist(), b.tolist(), distance.tolist(), strict=True):
+            x, y = self.sets.find(x), self.sets.find(y)
+            if x == y:
+                continue
+            density = min(most, 1 / max(d, 1e-6))
+            self.sets.join(x, y)
+            lead, total = min(x, y), self.size[x] + self.size[y]
+            cx, cy = self.cluster.pop(x, -1), self.cluster.pop(y, -1)
+            points = small.pop(x, []) + small.pop(y, [])
+            self.size[lead] = total
+            if cx >= 0 and cy >= 0:
+                c = self.cluster[lead] = self._new()
+                for child in (cx, cy):
+                    self.parent[child], self.birth[child] = c, density
+                    self.mass[c] += density * self.count[child]
+                    self.count[c] += self.count[child]
+                    self.below[c] += max(self._stability(child), self.below[child])
+            elif cx >= 0 or cy >= 0 or total >= least_size:
+                c = self.cluster[lead] = max(cx, cy) if cx >= 0 or cy >= 0 else self._new()
+                for p in points:
+                    self.inner[p], self.persistence[p] = c, density
+                    self.mass[c] += density * self.start[p]
+                    self.count[c] += self.start[p]
+            else:
+                small[lead] = points
+
+    def _new(self) -> int:
+        for values, first in ((self.mass, 0.0), (self.count, 0), (self.parent, -1), (self.birth, 0.0), (self.below, 0.0)):
+            values.append(first)
+        return len(self.mass) - 1
+
+    def _stability(self, c: int) -> float:
+        return self.mass[c] - self.count[c] * self.birth[c]
+
+    def leaders(self) -> np.ndarray:
+        return self.sets.leaders()
+
+    def states(self, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Size, mass, worth of the children and whether there is a cluster, of the component of each point."""
+        c = [self.cluster.get(x, -1) for x in lead.tolist()]
+        pick = lambda values: np.array([values[i] if i >= 0 else 0.0 for i in c], float)
+        return np.array([self.size[x] for x in lead.tolist()], np.int64), pick(self.mass), pick(self.below), np.array([i >= 0 for i in c], bool)
+
+    def selected(self, lead: np.ndarray, above: list, persistence: list[float], names: list) -> tuple[list, list[float]]:
+        """Selected cluster, or None, and persistence of each point; ``above`` and ``persistence`` are those that leaders got from heavier edges."""
+        label: list = [None] * len(self.mass)
+        named: dict[int, object] = {}
+        for p, c in enumerate(self.inner.tolist()):  # points in the order of their names
+            while c >= 0 and c not in named:
+                named[c] = names[p]
+                c = self.parent[c]
+        for x, c in self.cluster.items():
+            label[c] = above[x]
+        for c in range(len(self.mass) - 1, -1, -1):  # parents come before their children
+            if self.parent[c] >= 0:
+                up = label[self.parent[c]]
+                label[c] = up if up is not None else (named[c] if self._stability(c) >= self.below[c] else None)
+        out = [label[c] if c >= 0 else above[x] for c, x in zip(self.inner.tolist(), lead.tolist(), strict=True)]
+        return out, [self.persistence[p] if c >= 0 else persistence[x] for p, (c, x) in enumerate(zip(self.inner.tolist(), lead.tolist(), strict=True))]
+
+
 def cliques(vectors: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
     """Labels in which all pairs of a component reach ``least``; components where some do not are split.
 

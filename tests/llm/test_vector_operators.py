@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docsieve.llm import vectors as vectors_module
 from docsieve.llm import density as density_module
-from docsieve.llm.density import contracted, density_clusters, similar_groups
+from docsieve.llm.density import condensed, contracted, density_clusters, local_forest, similar_groups
 from docsieve.llm.hierarchy import cliques, dense_forest, density_hierarchy, sparse_forest
 from docsieve.llm.subset import pivoted, varied_subset
 from docsieve.llm.vectors import close_pairs, neighbour_pairs, neighbours, packed, unit, unpacked
@@ -193,6 +193,22 @@ def test_density_clusters(spark, options):
     assert len({r["cluster"] for r in found}) == len(found)
 
 
+def test_a_forest_in_bands_has_the_clusters_of_one_task(spark):
+    x = clustered(seed=2, sizes=(1, 2, 4, 12, 40, 80), spread=0.15)
+    x = np.concatenate([x, x[200:210], x[-1:].repeat(9, axis=0)])
+    a, b, w = local_forest(x, 5, 1.0)
+    df = spark.createDataFrame([(g, int(i) + n, int(j) + n, float(d)) for g, n in (("g", 0), ("h", 900)) for i, j, d in zip(a, b, w, strict=True) if n == 0 or i < 60 and j < 60], "grp string, a long, b long, w double")
+
+    def found(most):
+        sets = {}
+        for r in condensed(df, 3, 1.0, most).collect():
+            sets.setdefault((r["grp"], r["cluster"]), set()).add((r["id"], round(r["persistence"], 6)))
+        return {(g, frozenset(s)) for (g, _), s in sets.items()}
+
+    want = found(10**6)
+    assert len(want) > 8 and found(60) == want and found(25) == want
+
+
 @pytest.mark.parametrize("options", [{}, {"group_rows": 50, "rows_per_list": 1_000}])
 def test_noise_between_dense_groups_does_not_chain_them(spark, options):
     rng = np.random.default_rng(12)
