@@ -323,12 +323,14 @@ def select_stratified_diverse(spark, folder):
 
 
 def _learner(spark, folder, n_iterations=15):
-    docs = table(spark, folder, "documents").where("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("type"), "text")
-    corpus = HashEmbedder().embed(docs, "text").where("embedding is not null")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("type"), "text")
+    embedder = HashEmbedder()
+    none = F.array_repeat(F.lit(0.0), embedder.buckets)  # texts without tokens
+    corpus = embedder.embed(docs, "text").withColumn("embedding", F.coalesce("embedding", none))
     examples = [r["text"] for r in docs.where("type = 'fr' and length(text) > 40").orderBy(F.col("id").cast("long")).limit(10).collect()]
     french = ("le", "la", "les", "une", "des", "est", "dans")
     rule = RuleEvaluator(lambda _, text: sum(text.lower().split().count(w) for w in french) > 1)
-    return ActiveLearner(corpus, ExampleGenerator(tuple(examples)), rule, HashEmbedder(), Settings(n_iterations=n_iterations), "documents", "fr")
+    return ActiveLearner(corpus, ExampleGenerator(tuple(examples)), rule, embedder, Settings(n_iterations=n_iterations), "documents", "fr")
 
 
 def active_learning_loop(spark, folder):

@@ -49,3 +49,11 @@ def test_query(spark, tables, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_learning_loop_takes_every_document(spark, tmp_path):
+    rows = [(1, "le chat est dans la maison et les enfants jouent dehors", "fr"), (2, "les fleurs sont dans le jardin", None), (3, "καλημέρα", "el"), (4, None, "fr"), (5, "a house", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    corpus = {r["id"]: r for r in catalog._learner(spark, str(tmp_path)).corpus.collect()}
+    assert set(corpus) == {"1", "2", "3", "4", "5"} and corpus["2"]["type"] is None
+    assert all((set(r["embedding"]) == {0.0}) == (i in "34") and len(r["embedding"]) == 64 for i, r in corpus.items())
