@@ -25,11 +25,13 @@ def pivoted(features: np.ndarray, k: int, tolerance: float = 1e-5) -> list[int]:
     """``k`` rows in the order of a QR decomposition with pivoting; ties go to the first row.
 
     Where the rows picked span all the others, a new round starts over the rows left, without those that repeat one picked
-    in the round before as long as there are others.
+    before as long as there are others.
     """
     picked: list[int] = []
-    left = np.arange(len(features))
-    while len(picked) < k and len(left):
+    left, repeated = np.arange(len(features)), np.zeros(0, np.int64)
+    while len(picked) < k and len(left) + len(repeated):
+        if not len(left):
+            left, repeated = np.sort(repeated), left
         rest = features[left].astype(np.float64)
         norms = np.einsum("ij,ij->i", rest, rest)
         round_: list[int] = []
@@ -45,7 +47,12 @@ def pivoted(features: np.ndarray, k: int, tolerance: float = 1e-5) -> list[int]:
         if not round_:
             round_ = list(range(min(k - len(picked), len(left))))
         picked += left[round_].tolist()
-        left = np.delete(left, round_)
+        chosen, left = features[left[round_]].astype(np.float64), np.delete(left, round_)
+        if len(picked) < k and len(left):
+            rest = features[left].astype(np.float64)
+            gap = np.einsum("ij,ij->i", rest, rest)[:, None] + np.einsum("ij,ij->i", chosen, chosen)[None] - 2 * rest @ chosen.T
+            copy = (gap <= tolerance).any(axis=1)
+            left, repeated = left[~copy], np.concatenate([repeated, left[copy]])
     return picked
 
 

@@ -233,6 +233,16 @@ def test_pivots_span_the_rows():
     assert pivoted(np.zeros((3, 2)), 2) == [0, 1] and pivoted(np.zeros((0, 2)), 2) == []
 
 
+def test_copies_wait_until_all_distinct_rows_are_picked():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((12, 4)) @ rng.standard_normal((4, 10))
+    x[:2] *= 9  # picked first
+    rows = np.concatenate([np.repeat(x[:2], 40, axis=0), x[2:]])
+    picked = pivoted(rows, 12)
+    assert len(np.unique(rows[picked], axis=0)) == 12
+    assert sorted(pivoted(rows, 99)) == list(range(90))
+
+
 @pytest.mark.parametrize("options", [{}, {"block_rows": 30, "fan": 2}])
 def test_subset_covers_every_group_of_like_rows(spark, options):
     rng = np.random.default_rng(8)
