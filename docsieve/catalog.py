@@ -253,6 +253,11 @@ def search_filtered_padded(spark, folder):
     return search(table(spark, folder, "embeddings"), queries, 10, [3], type_col="label", id_col="vec_id").select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+def search_filtered_padded_all(spark, folder):
+    """The same for all queries; the SQL of ``search_filtered_padded`` states the first three only."""
+    return search(table(spark, folder, "embeddings"), _queries(spark, folder), 10, [3], type_col="label", id_col="vec_id").select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def search_prefiltered(spark, folder):
     return search(table(spark, folder, "embeddings"), _queries(spark, folder), 10, [3, 4], mode="pre_filter", type_col="label", id_col="vec_id").select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
@@ -352,7 +357,7 @@ QUERIES = [
     parse_digit_reply, parse_title_lines, batch_yes_no, label_merge, unlabeled_antijoin, labeled_only, label_histogram, prediction_histogram, distinct_classes, class_weights,
     vector_norm, centroid, distance_to_centroid, nearest_start, farthest_negatives, union_synthetic, attach_embeddings_checked, linear_score, threshold_confidence,
     zones, zone_budget_pick, kmeans_assign, kmeans_update, cluster_representative, flip_rate, session_flip_rate,
-    search_each, search_single, search_fused, search_filtered_padded, search_prefiltered,
+    search_each, search_single, search_fused, search_filtered_padded, search_filtered_padded_all, search_prefiltered,
     hash_embed, format_documents, number_texts, normalize_query, preview, fill_prompt,
     results_sorted, run_statistics, result_documents,
     lr_fit_predict, select_stratified_diverse, active_learning_loop, dataset_round_trip,
