@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.catalog_sql import SECOND_WEIGHTS, SQL, WEIGHTS
+from docsieve.catalog_sql import FRENCH, SECOND_WEIGHTS, SQL, WEIGHTS
 from docsieve.functions import text as T
 from docsieve.functions import vector as V
 from docsieve.operators import labels as L
 from docsieve.operators import metrics, ranking, sampling
 from docsieve.operators.classifier import BalancedLogisticRegression, confidence, is_positive
-from docsieve.operators.search import search, top_k
+from docsieve.operators.search import search, search_text, top_k
 from docsieve.plans.dataset import DatasetBuilder
-from docsieve.plans.durable import checkpoint_folder
+from docsieve.plans.durable import scratch_path
 from docsieve.plans.session import ActiveLearner, Settings
 from docsieve.providers import ExampleGenerator, HashEmbedder, RuleEvaluator
 from docsieve.sources.files import attach_vectors
@@ -82,6 +81,12 @@ def parse_digit_reply(spark, folder):
     return replies(spark, folder).select("eval_id", T.digit_verdicts("raw_reply", F.size("record_ids")).alias("v")).select("eval_id", F.col("v").isNotNull().alias("readable"), F.size(F.filter("v", lambda x: x)).alias("n"), F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), "").alias("digits")).select("eval_id", "readable", F.when(F.col("readable"), F.col("n")).alias("yes"), "digits")
 
 
+def json_verdict_lists(spark, folder):
+    """Verdicts written as JSON lists and read back, where there is one for each record."""
+    rows = replies(spark, folder)
+    return rows.select("eval_id", T.json_verdicts(F.to_json("verdicts"), F.size("record_ids")).alias("v")).select("eval_id", F.col("v").isNotNull().alias("readable"), F.when(F.col("v").isNotNull(), F.size(F.filter("v", lambda x: x))).alias("yes"))
+
+
 def parse_title_lines(spark, folder):
     docs = table(spark, folder, "documents")
     return docs.select("doc_id", T.title_lines("text", 3).alias("lines")).select("doc_id", F.when(F.col("lines").isNotNull(), F.size("lines")).alias("lines"), F.element_at("lines", 1).alias("first_line"))
@@ -130,20 +135,22 @@ def vector_norm(spark, folder):
 
 
 def _vectors(spark, folder):
-    return frames(spark, folder, "embedding")
+    rows = table(spark, folder, "active_learner").select("frame_id", "session_id", "id", "is_synthetic", "gt", "embedding", "scored_at")
+    return newest(rows, ["frame_id"], "scored_at")
 
 
-def _centres(spark, folder):
-    return ranking.centroids(_vectors(spark, folder).where("is_synthetic"), ["session_id"])
+def _centres(rows):
+    return ranking.centroids(rows.where("is_synthetic"), ["session_id"])
 
 
 def _distances(spark, folder):
-    rows = _vectors(spark, folder).where("not is_synthetic").select("frame_id", "session_id", "id", "gt", "embedding")
-    return ranking.with_distance(rows, _centres(spark, folder), ["session_id"]).drop("embedding").withColumn("distance", F.round("distance", 9))
+    rows = _vectors(spark, folder)
+    own = rows.where("not is_synthetic").select("frame_id", "session_id", "gt", "embedding")
+    return ranking.with_distance(own, _centres(rows), ["session_id"]).drop("embedding").withColumn("distance", F.round("distance", 9))
 
 
 def centroid(spark, folder):
-    return _centres(spark, folder).select("session_id", F.posexplode("centroid").alias("pos", "value")).select("session_id", "pos", F.round("value", 6).alias("value"))
+    return _centres(_vectors(spark, folder)).select("session_id", F.posexplode("centroid").alias("pos", "value")).select("session_id", "pos", F.round("value", 6).alias("value"))
 
 
 def distance_to_centroid(spark, folder):
@@ -249,12 +256,6 @@ def search_fused(spark, folder):
 
 
 def search_filtered_padded(spark, folder):
-    queries = _queries(spark, folder).where("query < 60")
-    return search(table(spark, folder, "embeddings"), queries, 10, [3], type_col="label", id_col="vec_id").select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
-
-
-def search_filtered_padded_all(spark, folder):
-    """The same for all queries; the SQL of ``search_filtered_padded`` states the first three only."""
     return search(table(spark, folder, "embeddings"), _queries(spark, folder), 10, [3], type_col="label", id_col="vec_id").select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
@@ -262,6 +263,14 @@ def search_prefiltered(spark, folder):
     return search(table(spark, folder, "embeddings"), _queries(spark, folder), 10, [3, 4], mode="pre_filter", type_col="label", id_col="vec_id").select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+def search_by_text(spark, folder):
+    """The texts of every document whose id is divisible by 20, as queries against all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    texts = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
+    found = search_text(HashEmbedder().embed(docs, "text"), texts, HashEmbedder(), 200, id_col="doc_id")
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 # --- texts ---------------------------------------------------------------------------------------------------------
 
 
@@ -298,9 +307,25 @@ def fill_prompt(spark, folder):
 # --- results -------------------------------------------------------------------------------------------------------
 
 
+def _results(spark, folder):
+    return table(spark, folder, "results").groupBy("session_id", "id").agg(F.max("score").alias("score"))
+
+
 def results_sorted(spark, folder):
-    rows = table(spark, folder, "results").groupBy("session_id", "id").agg(F.max("score").alias("score"))
-    return ranking.first_rows(rows, ["session_id"], [F.desc("score"), F.col("id")], 2**31 - 1).select("session_id", "id", F.round("score", 9).alias("score"), "rank")
+    found = ranking.all_ranked(_results(spark, folder), ["session_id"], [F.desc("score"), F.col("id")])
+    return found.select("session_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+def results_head(spark, folder):
+    found = ranking.head(_results(spark, folder), [F.desc("score"), F.col("session_id"), F.col("id")])
+    return found.select("session_id", "id", F.round("score", 9).alias("score"))
+
+
+def flip_rate_sets(spark, folder):
+    """The positives by label and those by prediction, as two sets of rows."""
+    rows = frames(spark, folder).where("not is_synthetic")
+    rates = metrics.flip_rate_of_sets(rows.where("gt").select(F.col("frame_id").alias("id")), rows.where(is_positive(F.col("prediction"))).select(F.col("frame_id").alias("id")))
+    return rates.select("flipped", "total", F.round("flip_rate", 9).alias("flip_rate"))
 
 
 def run_statistics(spark, folder):
@@ -313,15 +338,30 @@ def result_documents(spark, folder):
     return found.join(docs, "id").select("session_id", "id", "type", "name", F.round("score", 9).alias("score"))
 
 
-# --- without SQL ---------------------------------------------------------------------------------------------------
+# --- learning ------------------------------------------------------------------------------------------------------
+
+
+def _labelled_vectors(spark, folder):
+    return table(spark, folder, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).alias("gt"))
 
 
 def lr_fit_predict(spark, folder):
     """A classifier for ``label < 5`` on all vectors, and its predictions."""
-    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).alias("gt"))
+    rows = _labelled_vectors(spark, folder)
     return BalancedLogisticRegression().fit(rows).predict(rows).select("vec_id", "prediction")
 
 
+def lr_gradient(spark, folder):
+    """The gradient of the penalised balanced loss at the classifier found: zero everywhere, as there is one optimum."""
+    rows = _labelled_vectors(spark, folder)
+    fitted = BalancedLogisticRegression().fit(rows)
+    weights = L.class_weights(rows, []).select("gt", "weight")
+    off = fitted.predict(rows).join(F.broadcast(weights), "gt").select(((F.col("prediction") - F.col("gt").cast("double")) * F.col("weight")).alias("e"), V.doubles("embedding").alias("v"))
+    slopes = off.select("e", F.posexplode(F.concat("v", F.array(F.lit(1.0)))).alias("pos", "x")).groupBy("pos").agg(F.sum(F.col("e") * F.col("x")).alias("slope"))
+    penalty = F.array(*[F.lit(float(w)) for w in [*fitted.model.coefficients, 0.0]])
+    return slopes.select("pos", F.abs(F.round(F.col("slope") + F.element_at(penalty, F.col("pos") + 1), 6)).alias("gradient"))
+
+
 def select_stratified_diverse(spark, folder):
     rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", V.linear_score("embedding", WEIGHTS).alias("prediction"))
     return sampling.stratified_diverse(rows, 20).select("id", "zone", "pick")
@@ -333,8 +373,7 @@ def _learner(spark, folder, n_iterations=15):
     none = F.array_repeat(F.lit(0.0), embedder.buckets)  # texts without tokens
     corpus = embedder.embed(docs, "text").withColumn("embedding", F.coalesce("embedding", none))
     examples = [r["text"] for r in docs.where("type = 'fr' and length(text) > 40").orderBy(F.col("id").cast("long")).limit(10).collect()]
-    french = ("le", "la", "les", "une", "des", "est", "dans")
-    rule = RuleEvaluator(lambda _, text: sum(text.lower().split().count(w) for w in french) > 1)
+    rule = RuleEvaluator(lambda _, text: sum(text.lower().split().count(w) for w in FRENCH) > 1)
     return ActiveLearner(corpus, ExampleGenerator(tuple(examples)), rule, embedder, Settings(n_iterations=n_iterations), "documents", "fr")
 
 
@@ -343,24 +382,38 @@ def active_learning_loop(spark, folder):
     return _learner(spark, folder).classify("documents in French").results.select("id", "type", F.round("score", 6).alias("score"))
 
 
+def loop_first_labels(spark, folder):
+    """The labels of the first iteration: the nearest documents by the rule and, where all are positive, the furthest as negatives."""
+    run = _learner(spark, folder, 1).classify("documents in French")
+    return spark.createDataFrame(list(run.labels.items()), "id string, gt boolean")
+
+
+def loop_invariants(spark, folder):
+    """What holds for every run: all rows are scored or counted as unusable, results are the rows above the threshold, best first."""
+    run = _learner(spark, folder).classify("documents in French")
+    told = run.params["statistics"]
+    scores = [r["score"] for r in run.results.select("score").toLocalIterator()]
+    row = (told["total_items"], told["unusable_items"], len(scores) == told["positive_items"] == told["total_items"] - told["negative_items"], all(x > 0.5 for x in scores), scores == sorted(scores, reverse=True))
+    return spark.createDataFrame([row], "total_items long, unusable_items long, counts_agree boolean, all_above boolean, in_order boolean")
+
+
 def dataset_round_trip(spark, folder):
     """The documents with vectors, written as a dataset and read back."""
     builder = DatasetBuilder(HashEmbedder())
-    path = tempfile.mktemp(prefix="dataset-", dir=None) if spark.sparkContext.master.startswith("local[") else f"{checkpoint_folder(spark)}/dataset"
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    read, _ = builder.read(spark, builder.build(docs, "text", path))
-    return read.select("doc_id", F.length("text").alias("n_chars"), F.size("embedding").alias("dimension"))
+    read, _ = builder.read(spark, builder.build(docs, "text", scratch_path(spark)))
+    return read.select("doc_id", F.length("text").alias("n_chars"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimension"))
 
 
 QUERIES = [
     scan_terms_filter, scan_match_all, index_count, scan_keyset_page, newest_documents, session_parameters,
-    parse_digit_reply, parse_title_lines, batch_yes_no, label_merge, unlabeled_antijoin, labeled_only, label_histogram, prediction_histogram, distinct_classes, class_weights,
+    parse_digit_reply, json_verdict_lists, parse_title_lines, batch_yes_no, label_merge, unlabeled_antijoin, labeled_only, label_histogram, prediction_histogram, distinct_classes, class_weights,
     vector_norm, centroid, distance_to_centroid, nearest_start, farthest_negatives, union_synthetic, attach_embeddings_checked, linear_score, threshold_confidence,
     zones, zone_budget_pick, kmeans_assign, kmeans_update, cluster_representative, flip_rate, session_flip_rate,
-    search_each, search_single, search_fused, search_filtered_padded, search_filtered_padded_all, search_prefiltered,
+    search_each, search_single, search_fused, search_filtered_padded, search_prefiltered, search_by_text,
     hash_embed, format_documents, number_texts, normalize_query, preview, fill_prompt,
-    results_sorted, run_statistics, result_documents,
-    lr_fit_predict, select_stratified_diverse, active_learning_loop, dataset_round_trip,
+    results_sorted, results_head, run_statistics, result_documents, flip_rate_sets,
+    lr_fit_predict, lr_gradient, select_stratified_diverse, active_learning_loop, loop_first_labels, loop_invariants, dataset_round_trip,
 ]
 
 

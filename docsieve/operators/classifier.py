@@ -3,19 +3,53 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from uuid import uuid4
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions.vector import doubles
 from docsieve.operators.labels import class_weights
 from docsieve.schema import POSITIVE
 
+#: Training values (rows times columns) up to which the solver runs on the driver.
+SMALL = 4_000_000
 
-#: Training rows up to which one partition holds them.
-SMALL = 20_000
+
+def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, tol: float, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept that minimise c * sum(weight * loss) + |w|² / 2, until no part of the gradient exceeds ``tol``.
+
+    Newton steps are halved until the objective falls; the objective is strictly convex, so that there is one solution.
+    """
+    one = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.r_[np.ones(x.shape[1]), 0.0]
+    sign = np.where(y, 1.0, -1.0)
+    w = np.zeros(one.shape[1])
+    cost = lambda w: c * (weight * np.logaddexp(0, -sign * (one @ w))).sum() + (ridge * w * w).sum() / 2
+    value = cost(w)
+    for _ in range(rounds):
+        p = np.exp(-np.logaddexp(0, -(one @ w)))
+        slope = c * one.T @ (weight * (p - y)) + ridge * w
+        if np.abs(slope).max() <= tol:
+            break
+        bend = (one * (c * weight * p * (1 - p))[:, None]).T @ one + np.diag(ridge + 1e-12)
+        step, size = np.linalg.solve(bend, slope), 1.0
+        while (next_ := cost(w - size * step)) > value and size > 1e-9:
+            size /= 2
+        w, value = w - size * step, next_
+    return w[:-1], float(w[-1])
+
+
+def model_of(spark: SparkSession, coefficients: np.ndarray, intercept: float) -> LogisticRegressionModel:
+    """Spark's model with given coefficients, to be applied and saved like any other."""
+    values = spark.sparkContext._gateway.new_array(spark._jvm.double, len(coefficients))
+    for i, v in enumerate(coefficients.tolist()):
+        values[i] = v
+    ml = spark._jvm.org.apache.spark.ml
+    return LogisticRegressionModel(ml.classification.LogisticRegressionModel(f"logreg-{uuid4().hex[:12]}", ml.linalg.Vectors.dense(values), intercept))
 
 
 class Classifier(ABC):
@@ -33,7 +67,8 @@ class BalancedLogisticRegression(Classifier):
     """L2-regularised logistic regression whose classes weigh the same.
 
     ``c`` divides the penalty as usual: the objective is c * sum(weight * loss) + |w|² / 2. As balanced weights sum to
-    the number of rows n, that is Spark's objective at a regularisation of 1 / (c * n) without standardisation.
+    the number of rows n, that is Spark's objective at a regularisation of 1 / (c * n) without standardisation. Training sets of at most
+    ``SMALL`` values are solved on the driver, larger ones by Spark; both stop at the one solution there is.
     """
 
     def __init__(self, c: float = 1.0, max_iter: int = 10_000, tol: float = 1e-9):
@@ -48,9 +83,15 @@ class BalancedLogisticRegression(Classifier):
             raise ValueError("both classes are needed")
         n = sum(count for count, _ in weights.values())
         label = F.col(label_col)
-        ready = rows.where(label.isNotNull()).select(array_to_vector(doubles(vector_col)).alias("features"), label.cast("double").alias("label"), F.when(label, weights[True][1]).otherwise(weights[False][1]).alias("weight"))
-        if n <= SMALL:  # every step of the solver is a job over these rows
-            ready = ready.coalesce(1)
+        known = rows.where(label.isNotNull())
+        dimension = known.agg(F.max(F.size(vector_col))).first()[0]
+        if n * dimension <= SMALL:
+            got = known.select(doubles(vector_col).alias("v"), label.cast("boolean").alias("y")).toArrow()
+            y = got.column("y").to_numpy(zero_copy_only=False).astype(bool)
+            x = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), dimension)
+            self.model = model_of(rows.sparkSession, *newton(x, y, np.where(y, weights[True][1], weights[False][1]), self.c, self.tol))
+            return self
+        ready = known.select(array_to_vector(doubles(vector_col)).alias("features"), label.cast("double").alias("label"), F.when(label, weights[True][1]).otherwise(weights[False][1]).alias("weight"))
         self.model = LogisticRegression(regParam=1 / (self.c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=self.max_iter, tol=self.tol).fit(ready)
         return self
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.vector import is_usable
+from docsieve.providers import Embedder
+from docsieve.sources.index import as_list
 
 #: Queries that are broadcast at once; more are searched for block by block.
 QUERIES_AT_ONCE = 4_096
@@ -27,6 +29,20 @@ def scores(q: np.ndarray, d: np.ndarray, score: str) -> np.ndarray:
     return (1 + product / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None])) / 2
 
 
+def best_of(score: np.ndarray, name: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of each row of scores with their names, best first; ties go to the smaller name. Only what reaches the k-th is sorted."""
+    n, width = score.shape
+    k = min(k, width)
+    kth = -np.partition(-score, k - 1, axis=1)[:, k - 1] if k else np.zeros(n)
+    row, column = np.nonzero(score >= kth[:, None])
+    s, i = score[row, column], name[row, column]
+    _, place = np.unique(i, return_inverse=True)
+    order = np.lexsort((place.ravel(), -s, row))
+    starts = np.searchsorted(row, np.arange(n))
+    pick = order[(starts[:, None] + np.arange(k)[None]).ravel()]
+    return s[pick].reshape(n, k), i[pick].reshape(n, k)
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int, score: str = "l2", dimension: int = 64, id_col: str = "id", vector_col: str = "embedding", query_col: str = "query", query_vector_col: str = "vector") -> DataFrame:
     """``(query, id, score, rank)``: for every query the ``k`` documents with the largest score.
 
@@ -68,8 +84,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, score: str = "l2", dimens
                     new, order = new[:, keep], order[keep]
                 both = np.hstack([held_score, new])
                 names_ = np.hstack([held_id, np.broadcast_to(ids[order].astype(object), new.shape)])
-                rank = np.stack([np.lexsort((i, -s))[:k] for s, i in zip(both, names_, strict=True)])
-                held_score, held_id = np.take_along_axis(both, rank, axis=1), np.take_along_axis(names_, rank, axis=1)
+                held_score, held_id = best_of(both, names_, k)
             if kind is not None:
                 n = held_score.shape[1]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(q)), n))), pa.array(held_id.ravel().tolist(), kind), pa.array(held_score.ravel())], names=["query", "id", "score"])
@@ -98,3 +113,15 @@ def search(docs: DataFrame, queries: DataFrame, size: int = 10, types: list[str]
         ids = right_type.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
         fused = ids.join(fused, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
     return fused.orderBy(F.desc("score"), "id").limit(size)
+
+
+def search_text(docs: DataFrame, texts: str | list[str] | DataFrame, embedder: Embedder, size: int = 10, types: str | list[str] | None = None, **options) -> DataFrame:
+    """``search`` for one text, several texts, or the texts of a frame ``(query, text)``, which ``embedder`` turns into vectors.
+
+    The vectors of the documents must be of the same embedder. Texts without a usable vector find nothing.
+    """
+    if not isinstance(texts, DataFrame):
+        rows = list(enumerate(as_list(texts)))
+        texts = docs.sparkSession.createDataFrame(rows, "query int, text string")
+    queries = embedder.embed(texts.select("query", "text"), "text", "vector")
+    return search(docs, queries, size, as_list(types), **options)

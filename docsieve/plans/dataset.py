@@ -8,23 +8,13 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsieve.plans.durable import write_text
 from docsieve.providers import Embedder
 from docsieve.sources.files import attach_vectors
 
 TABLE, NOTE = "data.parquet", "metadata.json"
 
 
-def _write_note(spark: SparkSession, path: str, note: dict) -> None:
-    """Through Hadoop's file system, so that the dataset may be anywhere Spark can write."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/{NOTE}")
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        stream.write(bytearray(json.dumps(note, indent=2, ensure_ascii=False).encode()))
-    finally:
-        stream.close()
-
-
 class DatasetBuilder:
     """Writes datasets with the vectors of one embedder and reads them back."""
 
@@ -45,13 +35,13 @@ class DatasetBuilder:
         df.write.mode("overwrite").parquet(f"{path}/{TABLE}")
         written = df.sparkSession.read.parquet(f"{path}/{TABLE}")
         got = written.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_col)).alias("d")).first()
-        note = {
+        note = {  # Fixed values: the keys of the note
             "embedding_service": self.embedder.describe(),
             "dataframe_info": {"shape": [got["n"], len(columns)], "columns": columns, "text_column": text_col},
             **({"embeddings_shape": [got["n"], got["d"]]} if shape else {}),
             "created_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S"),
         }
-        _write_note(df.sparkSession, path, note)
+        write_text(df.sparkSession, f"{path}/{NOTE}", json.dumps(note, indent=2, ensure_ascii=False))
         return path
 
     def read(self, spark: SparkSession, path: str) -> tuple[DataFrame, dict]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass, field
-from pathlib import Path
 from uuid import uuid4
 
 from pyspark import StorageLevel
@@ -13,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import QUERY_CHARS
-from docsieve.functions.vector import distance
-from docsieve.operators.classifier import BalancedLogisticRegression, Classifier, confidence, is_positive
-from docsieve.operators.metrics import flip_rate_of_sets
+from docsieve.functions.vector import distance, doubles, is_finite
+from docsieve.operators.classifier import BalancedLogisticRegression, Classifier, is_positive
+from docsieve.operators.metrics import flip_rates
 from docsieve.operators.ranking import centroids, furthest, nearest
 from docsieve.operators.sampling import stratified_diverse
-from docsieve.plans.durable import durable
-from docsieve.providers import Embedder, Evaluator, Generator
+from docsieve.plans.durable import durable, write_text
+from docsieve.providers import Embedder, Evaluator, Generator, evaluate_documents, generate_documents
 
 #: Share of changed positives below which a run stops.
 SETTLED = 0.02
@@ -27,13 +26,14 @@ SETTLED = 0.02
 
 @dataclass
 class Settings:
+    # The defaults of a run
     n_synthetic: int = 10
     n_nearest: int = 40
     n_iterations: int = 15
     n_per_iteration: int = 20
     c: float = 1.0
     settled: float = SETTLED
-    tol: float = 1e-6
+    tol: float = 1e-9
     seed: int = 42
     trust_labels: bool = False
 
@@ -53,8 +53,9 @@ class ActiveLearner:
     """Finds every document of a corpus about a topic.
 
     The corpus is a frame of ``id, text, embedding`` and any further columns. It is scanned, never collected: the driver
-    holds the labels (a few hundred), the examples and the model. Predictions are a function of corpus, labels and model, so that
-    the plan of an iteration does not grow with those before.
+    holds the labelled rows (a few hundred), the examples and the model. Predictions are a function of corpus and model, so that
+    the plan of an iteration does not grow with those before and no predictions are kept. Rows with a null id, or whose vector is null, of another
+    length than the examples' or not finite, take no part and are counted as ``unusable_items``; a vector of zeros is scored like the rest.
     """
 
     def __init__(self, corpus: DataFrame, generator: Generator, evaluator: Evaluator, embedder: Embedder, settings: Settings | None = None, index_name: str = "", document_type: str | None = None):
@@ -62,50 +63,44 @@ class ActiveLearner:
         self.settings, self.index_name, self.document_type = settings or Settings(), index_name, document_type
 
     def classify(self, query: str, output_dir: str | None = None) -> Run:
-        """One run for one topic. With ``output_dir``, results, model, parameters and log go to a folder of the run's own below it."""
+        """One run for one topic. With ``output_dir``, results, model, parameters and log go to a folder of the run's own below it, on any file system Spark can write to."""
         began, session = time.time(), str(uuid4())
-        folder = Path(output_dir) / session if output_dir else None
-        if folder:
-            folder.mkdir(parents=True)
-        log = open(folder / "run.log", "w", encoding="utf-8") if folder else None  # noqa: SIM115
-        try:
-            return self._run(query.strip()[:QUERY_CHARS], session, folder, began, lambda m: self._say(log, m))
-        finally:
-            if log:
-                log.close()
+        folder = f"{output_dir.rstrip('/')}/{session}" if output_dir else None
+        lines: list[str] = []
 
-    @staticmethod
-    def _say(log, message: str) -> None:
-        if log:
-            log.write(f"{time.strftime('%Y-%m-%d %H:%M:%S')}\t{message}\n")
-            log.flush()
+        def say(message: str) -> None:
+            lines.append(f"{time.strftime('%Y-%m-%d %H:%M:%S')}\t{message}\n")
+            if folder:
+                write_text(self.corpus.sparkSession, f"{folder}/run.log", "".join(lines))
 
-    def _run(self, query: str, session: str, folder: Path | None, began: float, say) -> Run:
+        return self._run(query.strip()[:QUERY_CHARS], session, folder, began, say)
+
+    def _run(self, query: str, session: str, folder: str | None, began: float, say) -> Run:
         s, spark = self.settings, self.corpus.sparkSession
-        texts = self.generator.generate(query, s.n_synthetic, self.document_type)
-        if not texts:
-            raise ValueError("no examples to start from")
+        texts = generate_documents(self.generator, query, s.n_synthetic, self.document_type)
         say(f"{len(texts)} examples generated")
         rows = [(f"syn-{i}", t) for i, t in enumerate(texts)]
-        examples = self.embedder.embed(spark.createDataFrame(rows, "id string, text string"), "text").withColumn("gt", F.lit(True)).persist(StorageLevel.MEMORY_AND_DISK)
+        examples = self.embedder.embed(spark.createDataFrame(rows, "id string, text string"), "text").select(doubles("embedding").alias("embedding")).persist(StorageLevel.MEMORY_AND_DISK)
+        known = self.corpus.where(F.col("id").isNotNull())
         dimension = examples.agg(F.max(F.size("embedding"))).first()[0]
-        centre = centroids(examples.withColumn("one", F.lit(1)), ["one"], dimension=dimension).first()["centroid"]
-        if centre is None:
+        centre = centroids(examples.withColumn("one", F.lit(1)), ["one"], dimension=dimension).first()
+        held = [r["embedding"] for r in examples.where(is_finite("embedding", dimension)).collect()]
+        examples.unpersist()
+        if centre is None or centre["centroid"] is None:
             raise ValueError("the examples have no direction in common")
-        gap = distance("embedding", F.array(*[F.lit(x) for x in centre]))
-        corpus = self.corpus.where(F.col("id").isNotNull() & (F.size("embedding") == dimension)).withColumn("distance_to_centroid", gap).persist(StorageLevel.MEMORY_AND_DISK)
+        gap = F.round(distance("embedding", F.array(*[F.lit(x) for x in centre["centroid"]])), 12)  # so that equal distances tie
+        marked = known.withColumn("__fits", is_finite("embedding", dimension)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return self._loop(query, session, folder, began, say, corpus, examples)
+            corpus = marked.where("__fits").drop("__fits").withColumn("distance_to_centroid", gap)
+            return self._loop(query, session, folder, began, say, corpus, marked, held)
         finally:
-            corpus.unpersist()
-            examples.unpersist()
+            marked.unpersist()
 
-    def _loop(self, query, session, folder, began, say, corpus: DataFrame, examples: DataFrame) -> Run:
+    def _loop(self, query, session, folder, began, say, corpus: DataFrame, marked: DataFrame, examples: list) -> Run:
         s, spark = self.settings, self.corpus.sparkSession
         labels: dict[str, bool] = {}
+        vectors: dict[str, list[float]] = {}
         model: Classifier | None = None
-        positives: DataFrame | None = None
-        predicted: DataFrame | None = None
         done = 0
 
         def label_frame() -> DataFrame:
@@ -114,79 +109,73 @@ class ActiveLearner:
         def open_rows(rows: DataFrame) -> DataFrame:
             return rows.join(label_frame(), "id", "left_anti") if labels else rows
 
-        batch = nearest(corpus, s.n_nearest, "distance_to_centroid").select("id", "text").collect()
+        wanted = ("id", "text", doubles("embedding").alias("embedding"))
+        batch = nearest(corpus, s.n_nearest, "distance_to_centroid").select(*wanted).collect()
         for iteration in range(1, s.n_iterations + 1):
             done = iteration
             new = [r for r in batch if r["id"] not in labels]  # the same rows again cost no second evaluation
             if new:
-                verdicts = self.evaluator.evaluate(query, [r["id"] for r in new], [r["text"] or "" for r in new])
-                if len(verdicts) != len(new):
-                    raise ValueError(f"{len(verdicts)} verdicts for {len(new)} texts")
+                verdicts = evaluate_documents(self.evaluator, query, [r["id"] for r in new], [r["text"] or "" for r in new])
                 labels |= {r["id"]: bool(v) for r, v in zip(new, verdicts, strict=True)}
+                vectors |= {r["id"]: r["embedding"] for r in new}
             yes = sum(labels[r["id"]] for r in batch)
             say(f"iteration {iteration}: {len(batch)} evaluated, {yes} yes, {len(batch) - yes} no")
-            if not any(not v for v in labels.values()):  # examples are positive, so that only negatives can be missing
+            if all(labels.values()):  # examples are positive, so that only negatives can be missing
                 count = max(1, s.n_synthetic + sum(labels.values()))
-                far = furthest(open_rows(corpus), count, "distance_to_centroid").select("id").collect()
+                far = furthest(open_rows(corpus), count, "distance_to_centroid").select(*wanted).collect()
                 labels |= {r["id"]: False for r in far}
+                vectors |= {r["id"]: r["embedding"] for r in far}
                 say(f"iteration {iteration}: {len(far)} furthest rows taken as negatives")
             if all(labels.values()):
                 say(f"iteration {iteration}: only one class, skipped")
                 continue
-            training = corpus.select("id", "embedding").join(label_frame(), "id").select("embedding", "gt").unionByName(examples.select("embedding", "gt"))
-            model = BalancedLogisticRegression(s.c, tol=s.tol).fit(training)
-            before, predicted = predicted, model.predict(corpus).persist(StorageLevel.MEMORY_AND_DISK)
-            now = predicted.where(is_positive(F.col("prediction"))).select("id")
-            rate = flip_rate_of_sets(positives, now).first()["flip_rate"] if positives is not None else None
-            if before is not None:
-                before.unpersist()
-            positives = now
-            if rate is not None:
+            training = spark.createDataFrame([(vectors[i], v) for i, v in labels.items()] + [(v, True) for v in examples], "embedding array<double>, gt boolean")
+            before, model = model, self.classifier().fit(training)
+            if before is not None:  # both models on the same rows: no set is kept, and nothing is joined
+                both = model.predict(before.predict(corpus.select("id", "embedding")).withColumnRenamed("prediction", "before"))
+                rate = flip_rates(both, [], is_positive(F.col("before")), is_positive(F.col("prediction"))).first()["flip_rate"]
                 say(f"iteration {iteration}: flip rate {rate:.4f}")
                 if rate < s.settled:
                     break
             if iteration == s.n_iterations:
                 break
-            rest = open_rows(predicted)
-            batch = stratified_diverse(rest, s.n_per_iteration, seed=s.seed + iteration).orderBy("pick").select("id", "text").collect()
+            rest = open_rows(model.predict(corpus.select(*wanted)))
+            batch = stratified_diverse(rest, s.n_per_iteration, seed=s.seed + iteration).orderBy("pick").select("id", "text", "embedding").collect()
             if not batch:
                 say("nothing left to evaluate")
                 break
-        chosen = is_positive(F.col("prediction"))
-        if predicted is None:
+        if model is None:
             found = corpus.withColumn("score", F.lit(None).cast("double")).limit(0)
         else:
-            rows = predicted
+            rows, chosen = model.predict(corpus), is_positive(F.col("prediction"))
             if s.trust_labels:
                 rows = rows.join(label_frame(), "id", "left")
                 chosen = F.coalesce("gt", chosen)
             found = rows.where(chosen).withColumnRenamed("prediction", "score")
-        found = found.select(*self.corpus.columns, "score").orderBy(F.desc("score"), "id")
+        found = found.select(*self.corpus.columns, "score")
         if folder:
-            found.write.parquet(str(folder / "results.parquet"))
-            written = spark.read.parquet(str(folder / "results.parquet"))
-            if model is not None:
-                model.model.write().overwrite().save(str(folder / "model"))
+            found.orderBy(F.desc("score"), "id").write.parquet(f"{folder}/results.parquet")
+            written = spark.read.schema(found.schema).parquet(f"{folder}/results.parquet")
+            if isinstance(model, BalancedLogisticRegression):
+                model.model.write().overwrite().save(f"{folder}/model")
         else:
             written = durable(found)
         results = written.orderBy(F.desc("score"), "id")  # files may be read in any order
-        total, positive = corpus.count(), results.count()
-        if predicted is not None:
-            predicted.unpersist()
+        fits = {r["__fits"]: r["count"] for r in marked.groupBy("__fits").count().collect()}
+        total, positive = fits.get(True, 0), written.count()
+        # The keys and their order
         params = {
             "session_id": session, "index_name": self.index_name, "document_type": self.document_type, "query": query,
             "n_synthetic_documents": s.n_synthetic, "n_nearest_start": s.n_nearest, "n_iterations": s.n_iterations, "n_eval_per_iteration": s.n_per_iteration,
             "execution_times": {"total_seconds": time.time() - began},
-            "statistics": {"total_items": total, "positive_items": positive, "negative_items": total - positive, "iterations_completed": done},
+            "statistics": {"total_items": total, "positive_items": positive, "negative_items": total - positive, "iterations_completed": done, "unusable_items": fits.get(False, 0)},
             "model_info": {"type": "LogisticRegression", "c_value": s.c}, "providers": {"generator": self.generator.describe(), "evaluator": self.evaluator.describe(), "embedder": self.embedder.describe()},
             "timestamp": time.strftime("%Y-%m-%dT%H:%M:%S"),
         }
         if folder:
-            (folder / "params.json").write_text(json.dumps(params, indent=2, ensure_ascii=False), encoding="utf-8")
-        return Run(results, str(folder) if folder else None, params, model is not None, labels)
-
+            write_text(spark, f"{folder}/params.json", json.dumps(params, indent=2, ensure_ascii=False))
+        return Run(results, folder, params, model is not None, labels)
 
-def scored(rows: DataFrame, prediction_col: str = "prediction") -> DataFrame:
-    """``rows`` with the binary prediction and its confidence."""
-    p = F.col(prediction_col)
-    return rows.withColumn("prediction_binary", is_positive(p)).withColumn("confidence", confidence(p))
+    def classifier(self) -> Classifier:
+        """A new classifier for each training; to be overridden for another kind."""
+        return BalancedLogisticRegression(self.settings.c, tol=self.settings.tol)

@@ -11,6 +11,7 @@ import json
 import os
 import re
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -35,15 +36,15 @@ class Embedder(Protocol):
 class Generator(Protocol):
     def describe(self) -> dict[str, str]: ...
 
-    def generate(self, topic: str, n: int, document_type: str | None = None) -> list[str]:
-        """Exactly ``n`` texts about a topic."""
+    def generate(self, topic: str, n: int, document_type: str | None = None) -> list[str] | None:
+        """Exactly ``n`` texts about a topic; a tolerant generator may give one fewer, or none at all."""
 
 
 class Evaluator(Protocol):
     def describe(self) -> dict[str, str]: ...
 
-    def evaluate(self, topic: str, ids: list[str], texts: list[str]) -> list[bool]:
-        """A verdict for each text, in order."""
+    def evaluate(self, topic: str, ids: list[str], texts: list[str]) -> list[bool] | None:
+        """A verdict for each text, in order; none if the model gave no readable reply."""
 
 
 @dataclass(frozen=True)
@@ -62,12 +63,18 @@ class HashEmbedder:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = TokenSlots(buckets)
             for batch in batches:
-                vectors = []
+                flat: list[int] = []
+                sizes = []
                 for text in batch.column(text_col).to_pylist():
-                    own = [slots[t] for t in TOKEN.findall(text.lower())] if text else []
-                    counts = np.bincount(own, minlength=buckets).astype(float)
-                    vectors.append(counts / np.sqrt((counts * counts).sum()) if own else None)
-                yield batch.append_column(vector_col, pa.array(vectors, pa.list_(pa.float64())))
+                    before = len(flat)
+                    if text:
+                        flat.extend(map(slots.__getitem__, TOKEN.findall(text.lower())))
+                    sizes.append(len(flat) - before)
+                n, size = len(sizes), np.array(sizes, np.int64)
+                counts = np.bincount(np.repeat(np.arange(n), size) * buckets + np.array(flat, np.int64), minlength=n * buckets).reshape(n, buckets).astype(float)
+                counts /= np.sqrt(np.maximum((counts * counts).sum(axis=1, keepdims=True), 1))
+                offsets = pa.array(np.arange(0, n * buckets + 1, buckets, dtype=np.int32))
+                yield batch.append_column(vector_col, pa.ListArray.from_arrays(offsets, pa.array(counts.ravel()), mask=pa.array(size == 0)))
 
         return df.mapInArrow(count, with_vector(df, vector_col))
 
@@ -152,6 +159,16 @@ class Endpoint:
             body["response_format"] = {"type": "json_schema", "json_schema": {"name": "reply", "schema": schema, "strict": True}}
         return self.post("chat/completions", body)["choices"][0]["message"]["content"].strip()
 
+    def ask(self, prompt: str) -> str:
+        """The reply of the newer responses endpoint; where a server lacks it, that of the chat endpoint."""
+        try:
+            reply = self.post("responses", {"model": self.model, "input": prompt})
+        except urllib.error.HTTPError as error:
+            if error.code not in (404, 405, 501):
+                raise
+            return self.chat(prompt)
+        return "".join(part.get("text", "") for item in reply["output"] for part in item.get("content") or []).strip()
+
 
 @dataclass(frozen=True)
 class HttpEmbedder:
@@ -191,9 +208,41 @@ class HttpGenerator:
         return [f"{x['name']}\n{x['description']}" for x in reply]
 
 
+@dataclass(frozen=True)
+class HttpTitleGenerator:
+    """Examples as titles, a line each. A reply that is one title short is taken; a shorter one gives none."""
+
+    endpoint: Endpoint
+    template: str = "Write {n} titles of texts on the topic “{topic}”, as different as possible. Reply with one title a line and nothing else."
+
+    def describe(self) -> dict[str, str]:
+        return {"provider": "http", "model": self.endpoint.model}
+
+    def generate(self, topic: str, n: int, document_type: str | None = None) -> list[str] | None:
+        return parse_titles(self.endpoint.ask(self.template.replace("{n}", str(n)).replace("{topic}", topic)), n)
+
+
 @dataclass(frozen=True)
 class HttpEvaluator:
-    """Labels a batch in one prompt; a reply of the wrong length is asked for again, then refused."""
+    """Labels a batch in one prompt, whose reply must be a JSON list of as many booleans; any other reply raises ``ValueError`` at once."""
+
+    endpoint: Endpoint
+    template: str = "Topic: {topic}\nFor each numbered text, in order, say whether it is about the topic. Reply with a JSON list of true and false."
+
+    def describe(self) -> dict[str, str]:
+        return {"provider": "http", "model": self.endpoint.model}
+
+    def evaluate(self, topic: str, ids: list[str], texts: list[str]) -> list[bool]:
+        n = len(texts)
+        verdicts = json.loads(self.endpoint.chat(numbered_prompt(self.template, topic, texts), {"type": "array", "items": {"type": "boolean"}, "minItems": n, "maxItems": n}))
+        if not isinstance(verdicts, list) or len(verdicts) != n or not all(isinstance(v, bool) for v in verdicts):
+            raise ValueError(f"the reply is not a list of {n} booleans")
+        return verdicts
+
+
+@dataclass(frozen=True)
+class HttpDigitEvaluator:
+    """Labels a batch by one digit a text. An unreadable reply is asked for again; after ``attempts`` of them there are no verdicts."""
 
     endpoint: Endpoint
     attempts: int = ATTEMPTS
@@ -203,14 +252,18 @@ class HttpEvaluator:
     def describe(self) -> dict[str, str]:
         return {"provider": "http", "model": self.endpoint.model}
 
-    def evaluate(self, topic: str, ids: list[str], texts: list[str]) -> list[bool]:
-        prompt = self.template.replace("{topic}", topic) + "\n\n" + "\n".join(f"{i}. {t}" for i, t in enumerate(texts))
+    def evaluate(self, topic: str, ids: list[str], texts: list[str]) -> list[bool] | None:
+        prompt = numbered_prompt(self.template, topic, texts)
         for attempt in range(self.attempts):
-            verdicts = parse_digits(self.endpoint.chat(prompt), len(texts))
+            time.sleep(self.pause * attempt)
+            verdicts = parse_digits(self.endpoint.ask(prompt), len(texts))
             if verdicts is not None:
                 return verdicts
-            time.sleep(self.pause * attempt)
-        raise ValueError(f"no readable reply in {self.attempts} attempts")
+        return None
+
+
+def numbered_prompt(template: str, topic: str, texts: list[str]) -> str:
+    return template.replace("{topic}", topic) + "\n\n" + "\n".join(f"{i}. {t}" for i, t in enumerate(texts))
 
 
 def parse_digits(reply: str, n: int) -> list[bool] | None:
@@ -227,8 +280,8 @@ def parse_titles(reply: str, n: int) -> list[str] | None:
 
 _REGISTRY: dict[str, dict[str, Callable[..., object]]] = {
     "embedder": {"hashed-tokens": HashEmbedder, "http": HttpEmbedder},
-    "generator": {"examples": ExampleGenerator, "http": HttpGenerator},
-    "evaluator": {"rule": RuleEvaluator, "http": HttpEvaluator},
+    "generator": {"examples": ExampleGenerator, "http": HttpGenerator, "http-titles": HttpTitleGenerator},
+    "evaluator": {"rule": RuleEvaluator, "http": HttpEvaluator, "http-digits": HttpDigitEvaluator},
 }
 
 
@@ -243,3 +296,26 @@ def create(kind: str, name: str, **options) -> object:
     if name not in known:
         raise ValueError(f"unknown {kind} {name!r}; known: {', '.join(sorted(known)) or 'none'}")
     return known[name](**options)
+
+
+def embed(df: DataFrame, text_col: str = "text", embedder: Embedder | None = None, vector_col: str = "embedding") -> DataFrame:
+    """``df`` with a vector for each text."""
+    return (embedder or HashEmbedder()).embed(df, text_col, vector_col)
+
+
+def generate_documents(generator: Generator, topic: str, n: int, document_type: str | None = None) -> list[str]:
+    """``n`` texts about a topic; ``ValueError`` if the generator gave none."""
+    texts = generator.generate(topic, n, document_type)
+    if not texts:
+        raise ValueError("no examples to start from")
+    return texts
+
+
+def evaluate_documents(evaluator: Evaluator, topic: str, ids: list[str], texts: list[str]) -> list[bool]:
+    """A verdict for each text; ``ValueError`` if there are none or not as many."""
+    verdicts = evaluator.evaluate(topic, ids, texts)
+    if verdicts is None:
+        raise ValueError("the evaluator gave no readable reply")
+    if len(verdicts) != len(texts):
+        raise ValueError(f"{len(verdicts)} verdicts for {len(texts)} texts")
+    return verdicts

@@ -1,34 +1,4 @@
-"""Declared shapes of the frames that operators exchange."""
+"""Values that several operators share."""
 
-from __future__ import annotations
-
-from pyspark.sql import types as T
-
-#: An indexed document. Further columns pass through every operator.
-DOCUMENT = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("type", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("embedding", T.ArrayType(T.FloatType())),
-])
-
-#: Generated examples: always positive, with ids that no indexed document has.
-SYNTHETIC = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("text", T.StringType()),
-    T.StructField("embedding", T.ArrayType(T.DoubleType())),
-    T.StructField("is_synthetic", T.BooleanType()),
-    T.StructField("gt", T.BooleanType()),
-])
-
-#: A label: null means not labelled.
-LABEL = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("gt", T.BooleanType())])
-
-#: Reply of a generator: exactly as many as asked for.
-GENERATED = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType())]))
-#: Reply of an evaluator: a verdict for each text, in order.
-VERDICTS = T.ArrayType(T.BooleanType())
-
-#: Model classes whose probability is that of the positive class, and the threshold of a positive prediction.
+#: Threshold of a positive prediction.
 POSITIVE = 0.5

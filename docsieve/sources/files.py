@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +22,41 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
-def read_vectors(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
-    """``(row, embedding)`` of a dense array file with a vector a row; rows count from ``first``."""
+def read_vectors(spark: SparkSession, path: str, first: int = 0, rows_at_once: int = 65_536) -> DataFrame:
+    """``(row, embedding)`` of a dense array file with a vector a row; rows count from ``first``.
+
+    The file is mapped, not loaded, and read in parts by as many tasks, so that it must be where all executors see it.
+    """
     array = np.load(path, mmap_mode="r", allow_pickle=False)
     if array.ndim != 2:
         raise ValueError(f"expected a matrix, got {array.ndim} dimensions")
-    rows = ((first + i, [float(x) for x in v]) for i, v in enumerate(array))
-    return spark.createDataFrame(rows, "row long, embedding array<double>")
+    n, width = array.shape
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        array = np.load(path, mmap_mode="r", allow_pickle=False)
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                part = np.ascontiguousarray(array[at : at + rows_at_once], dtype=np.float64)
+                offsets = pa.array(np.arange(0, part.size + 1, width, dtype=np.int32) if width else np.zeros(len(part) + 1, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + at, first + at + len(part))), pa.ListArray.from_arrays(offsets, pa.array(part.ravel()))], names=["row", "embedding"])
+
+    parts = max(1, -(-n // rows_at_once))
+    return spark.range(0, n, rows_at_once, parts).mapInArrow(load, "row long, embedding array<double>")
+
+
+def write_vectors(df: DataFrame, path: str, order: str, vector_col: str = "embedding", dtype: str = "float32") -> tuple[int, int]:
+    """The vectors of ``df``, in the order of ``order``, as a dense array file on the driver; its shape is returned.
+
+    Partitions pass through the driver one after another. ``ValueError`` unless all vectors have the same length.
+    """
+    shape = df.agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(F.size(vector_col), F.lit(-1))).alias("low"), F.max(F.size(vector_col)).alias("high")).first()
+    if shape["n"] and shape["low"] != shape["high"]:
+        raise ValueError("vectors differ in length")
+    out = np.lib.format.open_memmap(path, mode="w+", dtype=dtype, shape=(shape["n"], shape["high"] or 0))
+    for i, row in enumerate(df.orderBy(order).select(vector_col).toLocalIterator()):
+        out[i] = row[0]
+    out.flush()
+    return out.shape
 
 
 def attach_vectors(df: DataFrame, vectors: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the fields of an indexed document.
 COLUMNS = ("id", "type", "name", "text", "embedding")
 
 
@@ -77,9 +78,28 @@ class Index:
             df.unpersist()
 
 
-def newest(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row for each key: the one with the largest ``order``, and among equals the largest row. Rows with a null key are dropped."""
+#: Repeated keys up to which they are broadcast.
+BROADCAST_KEYS = 100_000
+
+
+def newest(df: DataFrame, key: list[str], order: str, wide: bool | None = None) -> DataFrame:
+    """One row for each key: the one with the largest ``order``, and among equals the largest row. Rows with a null key are dropped.
+
+    Of ``wide`` rows (without it: rows with an array), only those whose key is repeated are shuffled: the keys are counted first, from their
+    own columns alone, and rows of a key of its own stay where they are. With more repeated keys than may be broadcast all rows are.
+    """
     rest = [c for c in df.columns if c not in key]
     best = F.max(F.struct(F.col(order).alias("__order"), *rest)).alias("__row")
-    kept = df.where(" and ".join(f"`{k}` is not null" for k in key)).groupBy(*key).agg(best)
-    return kept.select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in df.columns])
+    rows = df.where(" and ".join(f"`{k}` is not null" for k in key))
+
+    def collapsed(part: DataFrame) -> DataFrame:
+        return part.groupBy(*key).agg(best).select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in df.columns])
+
+    if not (any(kind.startswith("array") for _, kind in df.dtypes) if wide is None else wide):
+        return collapsed(rows)
+    repeated = rows.groupBy(*key).count().where("count > 1").select(*key)
+    number = repeated.limit(BROADCAST_KEYS + 1).count()
+    if number > BROADCAST_KEYS:
+        return collapsed(rows)
+    repeated = F.broadcast(repeated)
+    return rows.join(repeated, key, "left_anti").unionByName(collapsed(rows.join(repeated, key, "left_semi"))) if number else rows
