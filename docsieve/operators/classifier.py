@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.functions.vector import doubles
+from docsieve.functions.vector import doubles, is_finite
 from docsieve.operators.labels import class_weights
 from docsieve.schema import POSITIVE
 
@@ -60,7 +60,7 @@ class Classifier(ABC):
 
     @abstractmethod
     def predict(self, rows: DataFrame, vector_col: str = "embedding") -> DataFrame:
-        """``rows`` with ``prediction``, the probability of the positive class."""
+        """``rows`` with ``prediction``, the probability of the positive class; null for vectors that are null, of another length or not finite."""
 
 
 class BalancedLogisticRegression(Classifier):
@@ -98,8 +98,10 @@ class BalancedLogisticRegression(Classifier):
     def predict(self, rows: DataFrame, vector_col: str = "embedding") -> DataFrame:
         if self.model is None:
             raise ValueError("not fitted")
-        scored = self.model.transform(rows.withColumn("features", array_to_vector(doubles(vector_col))))
-        return scored.withColumn("prediction", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
+        fits = is_finite(vector_col, self.model.numFeatures)  # decided here, as a filter may be evaluated after the model
+        safe = F.when(fits, doubles(vector_col)).otherwise(F.array_repeat(F.lit(0.0), self.model.numFeatures))
+        scored = self.model.transform(rows.withColumn("features", array_to_vector(safe)))
+        return scored.withColumn("prediction", F.when(fits, vector_to_array("probability")[1])).drop("features", "rawPrediction", "probability")
 
 
 def is_positive(prediction: Column) -> Column:

@@ -155,3 +155,36 @@ def test_search_ties_and_unusable_vectors(spark):
     docs = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("z", [0.0, 0.0]), ("n", None), ("c", [0.0, 1.0])], "id string, embedding array<double>")
     query = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query int, vector array<double>")
     assert [(r["query"], r["id"]) for r in top_k(docs, query, 2, dimension=2).orderBy("rank").collect()] == [(1, "a"), (1, "b")]
+
+
+def test_hot_groups_are_ranked_in_parts(spark):
+    rows = [("hot" if i % 3 else f"s{i % 5}", i, (i * 37) % 101 / 7, 2 + i % 3) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, i long, x double, n int").withColumn("n", F.when(F.col("g") == "hot", 5).otherwise(F.lit(2)))
+    order = [F.desc("x"), F.col("i")]
+    want = {}
+    for g, i, x, _ in sorted(rows, key=lambda r: (-r[2], r[1])):
+        want.setdefault(g, []).append(i)
+    found = {(r["g"], r["rank"]): r["i"] for r in ranking.first_rows(df, ["g"], order, F.col("n")).collect()}
+    assert found == {(g, k + 1): i for g, ids in want.items() for k, i in enumerate(ids[: 5 if g == "hot" else 2])}
+    ranked = {(r["g"], r["rank"]): r["i"] for r in ranking.all_ranked(df, ["g"], order).collect()}
+    assert ranked == {(g, k + 1): i for g, ids in want.items() for k, i in enumerate(ids)}
+    assert ranking.all_ranked(df.limit(0), ["g"], order).count() == 0 and ranking.first_rows(df.limit(0), ["g"], order, F.col("n")).count() == 0
+
+
+def test_only_repeated_wide_rows_move(spark):
+    df = spark.createDataFrame([("a", 1, [1.0]), ("a", 2, [2.0]), ("b", 1, None), (None, 1, [0.0])], "k string, o int, v array<double>")
+    assert sorted(map(tuple, newest(df, ["k"], "o").collect())) == [("a", 2, [2.0]), ("b", 1, None)]
+    assert newest(df.where("o = 9"), ["k"], "o").count() == 0
+
+
+def test_newton_finds_the_optimum_that_spark_finds(spark, monkeypatch):
+    from docsieve.operators import classifier
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((80, 5))
+    y = x @ [1, -2, 0.5, 0, 3] + rng.standard_normal(80) > 1
+    df = spark.createDataFrame([(i, v.tolist(), bool(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "i long, embedding array<double>, gt boolean")
+    own = {r["i"]: r["prediction"] for r in BalancedLogisticRegression().fit(df).predict(df).collect()}
+    monkeypatch.setattr(classifier, "SMALL", 0)
+    theirs = {r["i"]: r["prediction"] for r in BalancedLogisticRegression().fit(df).predict(df).collect()}
+    assert max(abs(own[i] - theirs[i]) for i in own) < 1e-6

@@ -82,3 +82,12 @@ def test_reply_stream_counts_repetitions_once(spark, tmp_path):
     query = keep_labels(verdict_stream(reply_stream(spark, str(tmp_path / "in"), df.schema)), lambda batch, _: seen.extend(batch.collect()), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert sorted((r["id"], r["verdict"]) for r in seen) == [("a", True), ("b", False)]
+
+
+def test_rows_with_odd_vectors_are_left_out_and_counted(spark):
+    good = corpus(spark)
+    odd = [("x1", [float("nan")] * 64), ("x2", [float("inf")] + [0.0] * 63), ("x3", None), ("x4", [1.0]), ("x5", [None] + [1.0] * 63), ("x6", [0.0] * 64)]
+    bad = spark.createDataFrame(odd, "id string, embedding array<double>").withColumn("text", F.lit("x")).withColumn("extra", F.lit(1)).select(*good.columns)
+    run = learner(spark, lambda *_: True, docs=good.unionByName(bad), n_iterations=3).classify("robotics")
+    assert run.trained and run.params["statistics"]["unusable_items"] == 5 and run.params["statistics"]["total_items"] == 61
+    assert not {"x1", "x2", "x3", "x4", "x5"} & set(run.labels)
