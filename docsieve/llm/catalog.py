@@ -66,16 +66,18 @@ def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, packs)
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), edits=1)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with at least 12 consecutive words of an evaluation passage."""
-    found = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    """Documents with at least 12 consecutive words of an evaluation passage: of those with up to one edit, the ones that hold a run word for word."""
+    return _leaks(spark, folder).where("whole").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 def p7_edited(spark: SparkSession, folder: str) -> DataFrame:
     """The same with one character of the twelve words inserted, deleted or replaced at most."""
-    found = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), edits=1)
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "edits")
+    return _leaks(spark, folder).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "edits")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

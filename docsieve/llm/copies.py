@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.llm.text import distinct_words, squeezed
+from docsieve.plans.durable import durable
 
-#: A key is hot from this share of all rows on, so that at most 1 / HOT_SHARE keys are hot and may be broadcast.
+#: A key is hot from this share of all rows on, so that at most 1 / HOT_SHARE keys are hot and may be broadcast; with fewer rows than HOT_ROWS none is.
 HOT_SHARE = 1 / 2_000
+HOT_ROWS = 1_000
+#: Conflicting ids up to which they are broadcast.
+BROADCAST_IDS = 100_000
 
 
-def content_key(text_cols: tuple[str, ...]) -> F.Column:
-    """SHA-256 of the canonical fields in sorted order: equal for records that differ in writing or in field order only."""
+def content_key(text_cols: tuple[str, ...]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of the canonical fields in sorted order: equal for records that differ in writing or in field order only."""
     fields = F.array_sort(F.array(*[squeezed(c) for c in text_cols]))
-    return F.sha2(F.concat_ws("\x1f", F.transform(fields, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x))), 256)
+    whole = F.concat_ws("\x1f", F.transform(fields, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)))
+    return F.xxhash64(F.lit(1), whole), F.xxhash64(F.lit(2), whole)
+
+
+def latest_keys(df: DataFrame, id_col: str, text_cols: tuple[str, ...], order_col: str | None, min_words: int) -> DataFrame:
+    """``(id, k, l)``: the content key of the newest version of each id, null if that version has too few words."""
+    first, second = content_key(text_cols)
+    enough = F.size(distinct_words(*text_cols)) >= min_words
+    order = F.col(order_col).cast("timestamp") if order_col else F.lit(None).cast("timestamp")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        made = rows.select(F.col(id_col).cast("string").alias("id"), order.alias("seen"), F.when(enough, F.struct(first.alias("k"), second.alias("l"))).alias("key"))
+        return made.select("id", "seen", "key.k", "key.l")
+
+    known = df.where(F.col(id_col).isNotNull())
+    ends = [f(c).alias(f"{n}_{c}") for c in "kl" for n, f in (("low", F.min), ("high", F.max))]
+    each = durable(keyed(known).groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count("k").alias("long"), *ends))
+    agree = (F.col("long") == 0) | ((F.col("long") == F.col("rows")) & (F.col("low_k") == F.col("high_k")) & (F.col("low_l") == F.col("high_l")))
+    plain = each.where(agree).select("id", F.col("low_k").alias("k"), F.col("low_l").alias("l"))
+    odd = each.where(~agree).select("id")
+    number = odd.limit(BROADCAST_IDS + 1).count()
+    if not number:
+        return plain
+    odd = F.broadcast(odd) if number <= BROADCAST_IDS else odd  # only versions that contradict each other are read again
+    again = known.join(odd.withColumnRenamed("id", "odd_id_"), F.col(id_col).cast("string") == F.col("odd_id_"), "left_semi")
+    return plain.unionByName(keyed(again).groupBy("id").agg(F.max(F.struct("seen", "k", "l")).alias("v")).select("id", "v.k", "v.l"))
 
 
 def collapse_copies(
@@ -29,29 +57,27 @@ def collapse_copies(
     """One record for each content, with the number of its copies.
 
     Returns ``(kept, members)``: ``kept(keep_id, copies)`` has a row for each content, represented
-    by its smallest id, and ``members(id, key, keep_id)`` has every record whose content occurs more than once.
+    by its smallest id, and ``members(id, keep_id)`` has every record whose content occurs more than once.
 
     Keys are counted exactly, with partial counts on the map side. The few hot ones (at most
-    ``1 / HOT_SHARE``, hence safe to broadcast) are salted by id and aggregated in two levels, the
-    rest in one. Null texts count as empty; records with fewer than ``min_words`` distinct words and
+    ``1 / HOT_SHARE``, hence safe to broadcast) are salted by id and aggregated in two levels; all others meet in one shuffle, in which every
+    record finds its representative. Keys are 128-bit hashes of the contents. Null texts count as empty; records with fewer than ``min_words`` distinct words and
     null ids take no part; of repeated ids the latest ``order_col`` counts (ties and no ``order_col``:
     the largest key). Other columns are ignored. An empty table gives empty results.
     """
-    order = F.col(order_col).cast("timestamp") if order_col else F.lit(None).cast("timestamp")
-    enough = F.size(distinct_words(*text_cols)) >= min_words
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), order.alias("seen"), F.when(enough, F.unhex(content_key(text_cols))).alias("key"))
-    latest = rows.groupBy("id").agg(F.max(F.struct("seen", "key")).alias("v")).select("id", "v.key").where("key is not null").persist(StorageLevel.MEMORY_AND_DISK)
-
-    counts = latest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    hot = F.broadcast(counts.join(F.broadcast(total)).where(F.col("n") > F.greatest(F.lit(1_000), F.col("total") * HOT_SHARE)).select("key", F.lit(True).alias("hot")))
-
-    marked = latest.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-    first_level = marked.groupBy("key", "salt").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-    kept = first_level.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-
-    several = kept.where("copies > 1")
-    hot_kept = F.broadcast(several.join(hot, "key").select("key", "keep_id"))
-    cold = marked.where("hot is null").join(several.join(hot, "key", "left_anti").select("key", "keep_id"), "key").select("id", "key", "keep_id")
-    heated = marked.where("hot").join(hot_kept, "key").select("id", "key", "keep_id")
-    return kept.select("keep_id", "copies"), cold.unionByName(heated)
+    rows = durable(latest_keys(df, id_col, text_cols, order_col, min_words).where("k is not null"))
+    counts = rows.groupBy("k", "l").agg(F.count(F.lit(1)).alias("n"))
+    least = max(HOT_ROWS, int(rows.count() * HOT_SHARE))
+    hot = counts.where(F.col("n") > least).select("k", "l").collect()
+    hot = F.broadcast(df.sparkSession.createDataFrame(hot, "k long, l long"))
+
+    content = Window.partitionBy("k", "l")
+    cold = rows.join(hot, ["k", "l"], "left_anti").select("id", F.min("id").over(content).alias("keep_id"), F.count(F.lit(1)).over(content).alias("copies"))
+
+    heated = rows.join(hot, ["k", "l"], "left_semi")
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    parts = heated.groupBy("k", "l", salt.alias("salt")).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+    hot_kept = parts.groupBy("k", "l").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+    kept = cold.where("id = keep_id").select("keep_id", "copies").unionByName(hot_kept.select("keep_id", "copies"))
+    members = cold.where("copies > 1").select("id", "keep_id").unionByName(heated.join(F.broadcast(hot_kept.drop("copies")), ["k", "l"]).select("id", "keep_id"))
+    return kept, members

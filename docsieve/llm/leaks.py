@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.text import mixed, words_of
 
-#: Passages that are broadcast at once; more are searched for block by block.
-ITEMS_AT_ONCE = 20_000
+#: Characters of passages that are broadcast at once, the longest passage aside; more are searched for block by block.
+ITEM_CHARS = 8_000_000
 #: A q-gram with more places than this among the passages is counted only where a run has too few others.
 COMMON = 8
 #: Characters of documents that are searched at once.
@@ -54,7 +54,7 @@ def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
 class Passages:
     """The passages of a block with the places of their q-grams, and the bound of each run of words."""
 
-    ids: list
+    ids: pa.Array
     text: np.ndarray
     starts: np.ndarray
     q: int
@@ -72,11 +72,11 @@ class Passages:
     counted: np.ndarray
 
 
-def prepared(ids: list, texts: list[str | None], words: int, edits: int) -> Passages | None:
+def prepared(ids: pa.Array, texts: list[str | None], words: int, edits: int) -> Passages | None:
     """The index of a block of passages; none if no passage has ``words`` words."""
     kept, chars, runs = [], [], []
     at = 0
-    for i, text in zip(ids, texts, strict=True):
+    for i, text in enumerate(texts):
         found = words_of(text)
         if len(found) < words:
             continue
@@ -111,7 +111,7 @@ def prepared(ids: list, texts: list[str | None], words: int, edits: int) -> Pass
     item_bound = np.full(len(kept), np.iinfo(np.int64).max)
     np.minimum.at(item_bound, item, bound)
     item_runs = np.searchsorted(item, np.arange(len(kept) + 1))
-    return Passages(kept, text, starts, q, edits, grams, np.r_[first, len(places)], places, bits, item, low, high, bound, item_runs, item_bound, upto)
+    return Passages(ids.take(pa.array(kept)), text, starts, q, edits, grams, np.r_[first, len(places)], places, bits, item, low, high, bound, item_runs, item_bound, upto)
 
 
 def aligned(own: Passages, runs: np.ndarray, text: np.ndarray, shift: np.ndarray, slack: int) -> np.ndarray:
@@ -139,7 +139,7 @@ def aligned(own: Passages, runs: np.ndarray, text: np.ndarray, shift: np.ndarray
 
 
 def search(own: Passages, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(item, place in text, edits)`` of the regions of ``text`` that hold a run of a passage."""
+    """``(run, place in text, edits)`` of the runs of passages that regions of ``text`` hold."""
     none = (np.zeros(0, np.int64),) * 3
     hashes = gram_hashes(text, own.q)
     at = np.nonzero(own.filter[(hashes >> np.uint64(44)).astype(np.int64)])[0]
@@ -165,97 +165,98 @@ def search(own: Passages, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     count = np.diff(np.r_[begin, len(item)])
     enough = count >= own.item_bound[item[begin]]
     begin, count = begin[enough], count[enough]
-    runs, shifts, regions = [], [], []
+    runs, shifts = [], []
     for b, c in zip(begin.tolist(), count.tolist(), strict=True):
         i = item[b]
-        r = np.arange(own.item_runs[i], own.item_runs[i + 1])
         mine = place[b : b + c]
+        low, high = own.item_runs[i], own.item_runs[i + 1]  # of the item's runs only those that the region's q-grams touch
+        r = np.arange(low + np.searchsorted(own.run_to[low:high], mine[0] + own.q), low + np.searchsorted(own.run_from[low:high], mine[-1], side="right"))
         shared = np.searchsorted(mine, own.run_to[r] - own.q + 1) - np.searchsorted(mine, own.run_from[r])
         r = r[shared >= own.run_bound[r]]
-        runs.append(r), shifts.append(np.full(len(r), band[b] * width - len(own.text))), regions.append(np.full(len(r), i))
+        runs.append(r), shifts.append(np.full(len(r), band[b] * width - len(own.text)))
     if not runs or not sum(map(len, runs)):
         return none
-    run, shift, region = np.concatenate(runs), np.concatenate(shifts), np.concatenate(regions)
+    run, shift = np.concatenate(runs), np.concatenate(shifts)
     edits = np.concatenate([aligned(own, run[k : k + 20_000], text, shift[k : k + 20_000] + own.edits, 2 * own.edits) for k in range(0, len(run), 20_000)])
     fine = edits <= own.edits
-    return region[fine], (own.run_from[run] + shift)[fine], edits[fine]
+    return run[fine], (own.run_from[run] + shift)[fine], edits[fine]
 
 
-def exact_words(own: Passages, item: np.ndarray, place: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Of regions without edits, those that begin and end where words of the text do."""
-    keep = []
-    for i, p in zip(item.tolist(), place.tolist(), strict=True):
-        first = own.item_runs[i]
-        runs = np.arange(first, own.item_runs[i + 1])
-        size = (own.run_to - own.run_from)[runs]
-        fits = (p >= 0) & (p + size <= len(text))
-        before = p == 0 or text[p - 1] in (SPACE, BREAK)
-        ends = np.array([bool(f) and (p + n == len(text) or text[p + n] in (SPACE, BREAK)) and np.array_equal(text[p : p + n], own.text[a : a + n]) for f, n, a in zip(fits, size.tolist(), own.run_from[runs].tolist(), strict=True)])
-        keep.append(before and bool(ends.any()))
-    return np.array(keep, bool)
+def whole_words(own: Passages, run: np.ndarray, place: np.ndarray, edits: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which runs stand in ``text`` without an edit, as whole words, at their place or up to the slack of their band beside it."""
+    found = np.zeros(len(run), bool)
+    candidates = np.nonzero(edits == 0)[0]
+    size = own.run_to[run] - own.run_from[run]
+    padded = np.r_[np.uint32(BREAK), text, np.uint32(BREAK)]
+    apart = (padded == SPACE) | (padded == BREAK)
+    for offset in range(-own.edits, 3 * own.edits + 1):
+        p = place[candidates] + offset
+        n = size[candidates]
+        inside = (p >= 0) & (p + n <= len(text))
+        here, p, n = candidates[inside], p[inside], n[inside]
+        edge = apart[p] & apart[p + n + 1]  # the character before and the one behind
+        here, p, n = here[edge], p[edge], n[edge]
+        if len(here):
+            starts = np.cumsum(n) - n
+            at = np.arange(n.sum()) - np.repeat(starts, n)
+            same = text[np.repeat(p, n) + at] == own.text[np.repeat(own.run_from[run[here]], n) + at]
+            found[here] |= np.logical_and.reduceat(same, starts)
+    return found
 
 
-def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words: int = 12, edits: int = 0) -> DataFrame:
-    """``(doc, item, edits)``: documents that contain at least ``words`` consecutive words of a passage.
+def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words: int = 12, edits: int = 1) -> DataFrame:
+    """``(doc, item, edits, whole)``: documents that contain at least ``words`` consecutive words of a passage.
 
-    Texts are compared as lower-cased words joined by single spaces; ``edits`` characters of a run may be inserted,
-    deleted or replaced. With ``edits`` = 0 the runs must consist of whole words on both sides. ``edits`` in the result
-    is the fewest found for the pair. The bound of the q-gram lemma loses nothing: q is chosen so that it is positive for
+    Texts are compared as lower-cased words joined by single spaces; up to ``edits`` characters of a run may be inserted,
+    deleted or replaced. ``edits`` in the result is the fewest found for the pair, ``whole`` tells whether a run stands in the document
+    without any, word for word. The bound of the q-gram lemma loses nothing: q is chosen so that it is positive for
     every run, and frequent q-grams are left uncounted only in runs whose bound holds without them.
 
     Null texts count as empty; empty texts and passages of fewer than ``words`` words match nothing; rows with null ids
-    are left out; repeated ids count once. Other columns are ignored. Empty tables give an empty result. Documents are
-    read once for every ``ITEMS_AT_ONCE`` passages; only that many are held at once.
+    are left out; repeated ids count once. Ids may be of any type. Other columns are ignored. Empty tables give an empty result. Documents are
+    read once for every ``ITEM_CHARS`` characters of passages; only that many, or the longest passage, are held at once.
     """
     spark = df.sparkSession
     doc_kind, item_kind = dict(df.dtypes)[id_col], dict(items.dtypes)[item_id_col]
     wanted = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t"))
-    number = wanted.count()
-    blocks = max(1, -(-number // ITEMS_AT_ONCE))
+    total = wanted.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // ITEM_CHARS))
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    schema = f"doc {doc_kind}, item {item_kind}, edits int"
+    schema = f"doc {doc_kind}, item {item_kind}, edits int, whole boolean"
     found = spark.createDataFrame([], schema)
     for block in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block) if blocks > 1 else wanted
-        rows = part.orderBy("i", "t").collect()
-        own = prepared([r["i"] for r in rows], [r["t"] for r in rows], words, edits)
+        part = wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else wanted
+        rows = part.orderBy("i", "t").toArrow()
+        own = prepared(rows.column("i").combine_chunks(), rows.column("t").to_pylist(), words, edits) if rows.num_rows else None
         if own is None:
             continue
         shared = spark.sparkContext.broadcast(own)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            ids = np.array(own.ids, object)
 
-            def flush(docs: list, texts: list[str]) -> pa.RecordBatch:
+            def flush(docs: pa.Array, texts: list[str]) -> pa.RecordBatch:
                 whole = characters("\n".join(texts))
                 starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-                item, place, cost = search(own, whole)
-                if own.edits == 0 and len(item):
-                    keep = exact_words(own, item, place, whole)
-                    item, place, cost = item[keep], place[keep], cost[keep]
-                doc = np.searchsorted(starts, np.clip(place + own.edits + own.q // 2, 0, len(whole)), side="right") - 1
-                best: dict[tuple[int, int], int] = {}
-                for d, i, c in zip(doc.tolist(), item.tolist(), cost.tolist(), strict=True):
-                    best[d, i] = min(c, best.get((d, i), c))
-                pairs = list(best)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([docs[d] for d, _ in pairs], doc_type), pa.array([ids[i] for _, i in pairs], item_type), pa.array([best[p] for p in pairs], pa.int32())],
-                    names=["doc", "item", "edits"],
-                )
+                run, place, cost = search(own, whole)
+                exact = whole_words(own, run, place, cost, whole)
+                middle = place + own.edits + (own.run_to[run] - own.run_from[run]) // 2
+                doc = np.searchsorted(starts, np.clip(middle, 0, len(whole)), side="right") - 1
+                pair = doc * len(own.ids) + own.run_item[run]
+                order = np.lexsort((cost, pair))
+                first = np.nonzero(np.r_[True, np.diff(pair[order]) != 0])[0] if len(order) else order
+                exact = np.logical_or.reduceat(exact[order], first) if len(order) else exact
+                best = order[first]
+                return pa.RecordBatch.from_arrays([docs.take(pa.array(doc[best])), own.ids.take(pa.array(own.run_item[run[best]])), pa.array(cost[best], pa.int32()), pa.array(exact)], names=["doc", "item", "edits", "whole"])
 
-            item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
             for batch in batches:
-                doc_type = batch.schema.field("doc").type
-                docs, texts, size = [], [], 0
-                for doc, text in zip(batch.column("doc").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                    docs.append(doc), texts.append(" ".join(words_of(text)))
+                texts, size, begin = [], 0, 0
+                for at, text in enumerate(batch.column("t").to_pylist()):
+                    texts.append(" ".join(words_of(text)))
                     size += len(texts[-1]) + 1
-                    if size > BATCH_CHARS:
-                        yield flush(docs, texts)
-                        docs, texts, size = [], [], 0
-                if docs:
-                    yield flush(docs, texts)
+                    if size > BATCH_CHARS or at + 1 == batch.num_rows:
+                        yield flush(batch.column("doc").slice(begin, len(texts)), texts)
+                        texts, size, begin = [], 0, at + 1
 
         found = found.unionByName(docs.mapInArrow(scan, schema))
-    return found.groupBy("doc", "item").agg(F.min("edits").alias("edits"))
+    return found.groupBy("doc", "item").agg(F.min("edits").alias("edits"), F.bool_or("whole").alias("whole"))

@@ -15,4 +15,10 @@ WITH s AS (SELECT id, coalesce(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}]+',
            FROM ({_NEWEST}) WHERE len({_WORDS}) >= 8),
 g AS (SELECT id, min(id) OVER (PARTITION BY least(x, y), greatest(x, y)) AS keep_id FROM s)
 SELECT keep_id, id AS copy_id FROM g WHERE id <> keep_id""",
+    "p7_found": r"""
+WITH g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 10)), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram
+           FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL)),
+h AS (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 10)), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram
+      FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL))
+SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (gram)""",
 }

@@ -1,7 +1,9 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,17 +142,35 @@ def leak_frames(spark):
     return texts, items, df, spark.createDataFrame(items, "item_id long, text string").withColumn("i", F.lit(0))
 
 
-@pytest.mark.parametrize("at_once", [20_000, 25])
-def test_leaks_against_brute_force(spark, monkeypatch, at_once):
-    monkeypatch.setattr(leaks_module, "ITEMS_AT_ONCE", at_once)
+@pytest.mark.parametrize("at_once,edits", [(10**7, 0), (3_000, 0), (10**7, 1), (3_000, 2)])
+def test_leaks_against_brute_force(spark, monkeypatch, at_once, edits):
+    monkeypatch.setattr(leaks_module, "ITEM_CHARS", at_once)
     texts, items, df, passages = leak_frames(spark)
-    found = leaks(df.unionByName(df.where("doc_id < 10")), passages).collect()
+    found = leaks(df.unionByName(df.where("doc_id < 10")), passages, edits=edits).where("whole").collect()
     got = {(r["doc"], r["item"]) for r in found}
     assert got == leak_truth(texts, items) and len(got) == len(found) > 40
     assert {r["edits"] for r in found} == {0}
     assert leaks(df.limit(0), passages).count() == 0 and leaks(df, passages.limit(0)).count() == 0
 
 
+def test_leaks_of_ids_of_other_types(spark):
+    text = " ".join(f"w{i}" for i in range(14))
+    df = spark.createDataFrame([("d", text), (None, text)], "doc_id string, text string")
+    items = spark.createDataFrame([(text, 1.5)], "text string, x double").select(F.to_date(F.lit("2025-01-01")).alias("item_id"), "text")
+    assert [(r["doc"], str(r["item"]), r["whole"]) for r in leaks(df, items).collect()] == [("d", "2025-01-01", True)]
+
+
+def test_a_long_leaked_passage_is_searched_in_no_time():
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5_000))
+    own = leaks_module.prepared(pa.array([7]), [text], 12, 1)
+    whole = leaks_module.characters("other words " + text + " and more")
+    began = time.process_time()
+    run, place, cost = leaks_module.search(own, whole)
+    exact = leaks_module.whole_words(own, run, place, cost, whole)
+    assert len(set(run[exact].tolist())) == 4_989 and time.process_time() - began < 3
+
+
 def semi_global(run, text, edits):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(run, 1):
