@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from docsieve.llm.spam import spam_pages, spam_share
 from docsieve.llm.sql import SQL
 from docsieve.llm.subset import varied_subset
 from docsieve.llm.vectors import neighbour_pairs, neighbours
+from docsieve.plans.durable import durable
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,12 +57,25 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return members.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = {r["size_id"]: r["capacity_tokens"] for r in table(spark, folder, "context_sizes").select("size_id", "capacity_tokens").collect()}
+    return packed_containers(durable(token_counts(table(spark, folder, "documents"))), sizes)
+
+
 def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in containers of each capacity, by tokens of a public tokenizer."""
-    sizes = table(spark, folder, "context_sizes").select("size_id", "capacity_tokens").orderBy("size_id").collect()
-    counts = token_counts(table(spark, folder, "documents")).persist(StorageLevel.MEMORY_AND_DISK)
-    packs = [packed_containers(counts, s["capacity_tokens"]).select(F.lit(s["size_id"]).alias("size_id"), F.col("id").alias("doc_id"), "part", "token_from", "tokens", "container") for s in sizes]
-    return reduce(DataFrame.unionByName, packs)
+    return _packed(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+def p6_sound(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity: the documents packed, and whether every container holds it, every document is whole and only those above it are split."""
+    found = durable(_packed(spark, folder))
+    capacity = F.broadcast(table(spark, folder, "context_sizes").select("size_id", "capacity_tokens"))
+    full = found.groupBy("size_id", "container").agg(F.sum("tokens").alias("load")).join(capacity, "size_id").groupBy("size_id").agg(F.bool_and(F.col("load") <= F.col("capacity_tokens")).alias("fits"), (F.sum("load") > 0.9 * F.count(F.lit(1)) * F.max("capacity_tokens")).alias("full"))
+    each = found.groupBy("size_id", "id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("tokens"), F.max(F.col("token_from") + F.col("tokens")).alias("end")).join(capacity, "size_id")
+    least = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens")))
+    whole = each.groupBy("size_id").agg(F.count(F.lit(1)).alias("documents"), F.bool_and((F.col("end") == F.col("tokens")) & (F.col("parts") == least)).alias("whole"))
+    return whole.join(full, "size_id").select("size_id", "documents", "whole", "fits", "full")
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:

