@@ -34,6 +34,11 @@ def p2_select(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("grp").alias("session_id"), F.col("id").alias("frame_id"), "pick")
 
 
+def p2_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many different rows were picked in each session, and the number of the last pick."""
+    return p2_select(spark, folder).groupBy("session_id").agg(F.countDistinct("frame_id").alias("picked"), F.max("pick").alias("last_pick"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records of which at least one is among the ten most similar of the other."""
     return neighbour_pairs(neighbours(table(spark, folder, "opensearch"), order_col="indexed_at", k=10, least=0.7))

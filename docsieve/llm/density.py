@@ -2,8 +2,8 @@
 
 Groups that fit one task are clustered there from the exact mutual-reachability graph. Larger ones
 are spread over the inverted lists: each block keeps the spanning forest of its own edges, the
-forests are joined by Borůvka rounds until a group's edges fit one task, and the hierarchy is cut or
-condensed there.
+forests are joined by Borůvka rounds until a group's edges fit one task, and the hierarchy is
+condensed there, or in bands of edges where the forest itself is larger.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.vector import dot, normalised, vector_mean
 from docsieve.llm.hierarchy import Band, Hierarchy, cliques, dense_forest, density_hierarchy, edge_cosines, sparse_forest, split_cliques
-from docsieve.llm.vectors import distinct_rows, fit_lists, grouped_equal, neighbours_of, newest_rows, packed, routed, sampled, unit, unpacked, usable
-from docsieve.plans.durable import durable
+from docsieve.llm.vectors import distinct_rows, grouped_equal, index_of, neighbours_of, newest_rows, routed, unit, unpacked, usable_vectors
+from docsieve.plans.durable import durable, release
 
 #: Rows up to which a group, and a component or a block of one that is checked pair by pair, is handled in one task.
 GROUP_ROWS = 8_192
@@ -27,12 +27,13 @@ BROADCAST_GROUPS = 10_000
 
 
 def usable_rows(df: DataFrame, group_col: str, id_col: str, vector_col: str, value_col: str, order_col: str | None, dimension: int) -> DataFrame:
-    """``(grp, rid, value, v)``: the newest version of each row with a usable vector and a value in [0, 1]."""
+    """``(grp, rid, value, v)``: the newest version of each row with a usable vector and a value in [0, 1], as a durable table; ``v`` is packed."""
     columns = list(dict.fromkeys([group_col, id_col, vector_col, value_col, *([order_col] if order_col else [])]))
     clean = newest_rows(df.where(F.col(id_col).isNotNull()).select(columns), id_col, order_col, [group_col, vector_col, value_col])
     value = F.col(value_col)
-    fine = F.col(group_col).isNotNull() & value.isNotNull() & ~F.isnan(value) & value.between(0, 1) & usable(vector_col, dimension)
-    return clean.where(fine).select(F.col(group_col).alias("grp"), F.col(id_col).alias("rid"), value.cast("double").alias("value"), F.transform(vector_col, lambda x: x.cast("float")).alias("v"))
+    fine = F.col(group_col).isNotNull() & value.isNotNull() & ~F.isnan(value) & value.between(0, 1)
+    rows = clean.where(fine).select(F.col(group_col).alias("grp"), F.col(id_col).alias("rid"), value.cast("double").alias("value"), F.col(vector_col).alias("vector"))
+    return durable(usable_vectors(rows, "vector", dimension))
 
 
 def split_by_size(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
@@ -96,22 +97,6 @@ def local_forest(vectors: np.ndarray, min_samples: int, furthest: float) -> tupl
     return np.r_[first[a], first[where[copy]][fine]], np.r_[first[b], copy[fine]], np.r_[w, near[fine]]
 
 
-def pack_rows(rows: DataFrame, value: bool = True) -> DataFrame:
-    """``rows`` with their vectors as compact binary values."""
-
-    def pack(batches):
-        from docsieve.llm.vectors import matrix
-
-        for batch in batches:
-            if batch.num_rows:
-                dimension = len(batch.column("v")[0])
-                columns = [batch.column(c) for c in batch.schema.names if c != "v"]
-                yield pa.RecordBatch.from_arrays([*columns, packed(matrix(batch.column("v"), dimension))], names=[c for c in batch.schema.names if c != "v"] + ["v"])
-
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(pack, ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "v") + ", v binary")
-
-
 def contracted(edges: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
     """Borůvka rounds over ``(grp, a, b, w)`` until no group has more than ``most`` edges between components.
 
@@ -123,27 +108,29 @@ def contracted(edges: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame
     names: DataFrame | None = None
     taken: DataFrame | None = None
     while not left.groupBy("grp").count().where(F.col("count") > most).isEmpty():
-        left = durable(left) if names is None else left
         both = left.unionByName(left.select("grp", F.col("cb").alias("ca"), F.col("ca").alias("cb"), "a", "b", "w"))
         pick = F.struct("w", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "cb")
         chosen = durable(both.groupBy("grp", F.col("ca").alias("c")).agg(F.min(pick).alias("e")).select("grp", "c", F.col("e.cb").alias("to"), F.col("e.x").alias("a"), F.col("e.y").alias("b"), F.col("e.w").alias("w")))
         new = chosen.select("grp", "a", "b", "w").distinct()
-        taken = new if taken is None else durable(taken.unionByName(new))
+        before, taken = taken, durable(new if taken is None else taken.unionByName(new))
+        release(before)
         back = chosen.select("grp", F.col("c").alias("to"), F.col("to").alias("back"))
         own = (F.col("back") == F.col("c")) & (F.col("c") < F.col("to"))
-        up = chosen.join(back, ["grp", "to"], "left").select("grp", "c", F.when(own, F.col("c")).otherwise(F.col("to")).alias("up"))
+        up = durable(chosen.join(back, ["grp", "to"], "left").select("grp", "c", F.when(own, F.col("c")).otherwise(F.col("to")).alias("up")))
         while True:  # pointers are followed by doubling
-            up = durable(up)
             over = up.select("grp", F.col("c").alias("up"), F.col("up").alias("top"))
-            jumped = up.join(over, ["grp", "up"], "left").select("grp", "c", F.coalesce("top", "up").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+            jumped = durable(up.join(over, ["grp", "up"], "left").select("grp", "c", F.coalesce("top", "up").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            release(up)
+            up = jumped.select("grp", "c", "up")
+            up._durable_path = jumped._durable_path
             if jumped.where("moved").isEmpty():
                 break
-            up = jumped.select("grp", "c", "up")
-        names = up.select("grp", F.col("c").alias("v"), F.col("up").alias("c")) if names is None else durable(renamed(names, up, "c"))
-        left = renamed(renamed(left, up, "ca"), up, "cb").where("ca <> cb")
+        before, names = names, durable(up.select("grp", F.col("c").alias("v"), F.col("up").alias("c")) if names is None else renamed(names, up, "c"))
+        release(before)
         lightest = F.min(F.struct("w", "a", "b")).alias("e")
-        left = left.groupBy("grp", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(lightest).select("grp", "ca", "cb", "e.a", "e.b", "e.w")
-        left = durable(left)
+        apart = renamed(renamed(left, up, "ca"), up, "cb").where("ca <> cb")
+        before, left = left, durable(apart.groupBy("grp", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(lightest).select("grp", "ca", "cb", "e.a", "e.b", "e.w"))
+        release(before, chosen, up)
     return names, taken, left
 
 
@@ -154,22 +141,22 @@ def renamed(df: DataFrame, up: DataFrame, column: str) -> DataFrame:
 
 
 def group_edges(large: DataFrame, dimension: int, min_samples: int, furthest: float, rows_per_list: int, probes: int, seed: int) -> DataFrame:
-    """``(grp, a, b, w)``: forests of the blocks of the large groups, whose union holds their spanning forest but for edges beyond the probes."""
+    """``(grp, a, b, w)``: forests of the blocks of the large groups ``(grp, rid, v)``, whose union holds their spanning forest but for edges beyond the lists probed.
+
+    The lists probed are set so that ``TARGET`` of the neighbours within ``furthest`` of a sample of rows, found by holding these against all rows, lie in them.
+    """
     kinds = dict(large.dtypes)
-    n = large.count()
-    lists = fit_lists(sampled(large, "rid", "v", dimension, n), n, rows_per_list, probes, seed)
-    if min_samples > 1:
-        near = neighbours_of(large, lists, dimension, min_samples - 1, 1 - furthest / 2, ["grp", "list", "ib", "qb"])
-        core = near.select("grp", F.col("id").alias("rid"), (2 - 2 * F.element_at("near", -1)["similarity"]).cast("float").alias("core"))
-        large = large.join(core, ["grp", "rid"], "left").select("grp", "rid", F.concat("v", F.array(F.coalesce("core", F.lit(float("inf")).cast("float")))).alias("v"))
-        extra = 1
-    else:
-        large, extra = large.select("grp", "rid", "v"), 0
+    reach = 1 - furthest / 2
+    lists = index_of(large, dimension, max(10, min_samples), reach, rows_per_list, probes, seed)
+    near = neighbours_of(large, lists, dimension, max(1, min_samples - 1), reach, ["grp", "list", "ib", "qb"])
+    core = near.select("grp", F.col("id").alias("rid"), (2 - 2 * F.element_at("near", -1)["similarity"]).cast("float").alias("core"))
+    # a row without a neighbour within reach has no edge either
+    cored = large.join(core, ["grp", "rid"]).select("grp", "rid", "v", "core")
 
     def forest(table: pa.Table) -> pa.Table:
         grp = table.column("grp")[0].as_py()
-        ids, _, wide = distinct_rows(table, dimension + extra)
-        core = wide[:, dimension].astype(float) if extra else np.zeros(len(ids))
+        ids, _, wide = distinct_rows(table, dimension + 1)
+        core = wide[:, dimension].astype(float) if min_samples > 1 else np.zeros(len(ids))
         vectors = np.ascontiguousarray(wide[:, :dimension])
         where, first = grouped_equal(vectors)  # rows of other lists that probe this one meet all its rows, and each other
         a, b, w = dense_forest(unit(vectors[first]), core[first], furthest + 1e-6)
@@ -178,10 +165,11 @@ def group_edges(large: DataFrame, dimension: int, min_samples: int, furthest: fl
         fine = (w <= furthest + 1e-6) & (a != b)
         a, b, w = a[fine], b[fine], w[fine]
         keep = sparse_forest(len(ids), a, b, w)
-        return pa.table({"grp": pa.array([grp] * len(keep), table.schema.field("grp").type), "a": pa.array(ids[a[keep]], table.schema.field("rid").type), "b": pa.array(ids[b[keep]], table.schema.field("rid").type), "w": w[keep]})
+        keep = keep[edge_cosines(unit(vectors), a[keep], b[keep]) >= np.round(reach, 6)]
+        return pa.table({"grp": pa.array([grp] * len(keep), table.schema.field("grp").type), "a": pa.array(ids[a[keep]], table.schema.field("rid").type), "b": pa.array(ids[b[keep]], table.schema.field("rid").type), "w": np.minimum(w[keep], furthest)})
 
     schema = f"grp {kinds['grp']}, a {kinds['rid']}, b {kinds['rid']}, w double"
-    return routed(large, lists, dimension, extra).groupBy("grp", "list", "ib", "qb").applyInArrow(forest, schema)
+    return durable(routed(cored, lists, dimension).groupBy("grp", "list", "ib", "qb").applyInArrow(forest, schema))
 
 
 def indexed(table: pa.Table, x: str, y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,28 +185,12 @@ def repeated(table: pa.Table, column: str, n: int) -> pa.Array:
     return pa.array([table.column(column)[0].as_py()] * n, table.schema.field(column).type)
 
 
-def connected(edges: DataFrame, most: int) -> DataFrame:
-    """``(grp, comp, rid)``: the connected component of every vertex of ``(grp, a, b, w)``."""
-    kinds = dict(edges.dtypes)
-    names, _, left = contracted(edges, most)
-
-    def label(table: pa.Table) -> pa.Table:
-        ids, a, b = indexed(table, "ca", "cb")
-        kind = table.schema.field("ca").type
-        return pa.table({"grp": repeated(table, "grp", len(ids)), "comp": pa.array(ids[components(len(ids), a, b)], kind), "rid": pa.array(ids, kind)})
-
-    found = left.groupBy("grp").applyInArrow(label, f"grp {kinds['grp']}, comp {kinds['a']}, rid {kinds['a']}")
-    if names is None:
-        return found
-    return renamed(names, found.select("grp", F.col("rid").alias("c"), F.col("comp").alias("up")), "c").select("grp", F.col("c").alias("comp"), F.col("v").alias("rid"))
-
-
-def condensed(edges: DataFrame, least_size: int, furthest: float, most: int) -> DataFrame:
+def condensed(edges: DataFrame, least_size: int, furthest: float, most: int, apart: float = 0.0) -> DataFrame:
     """``(grp, cluster, id, persistence)``: the density hierarchy of the spanning forest of ``(grp, a, b, w)``.
 
     The forest of a group with more than ``most`` edges is condensed in bands of ``most`` edges, lightest first: each band hands the
     state of its components upward (size, mass, what the clusters inside are worth), and what was selected above them comes
-    back down. The result is that of one task over the whole forest.
+    back down. The result is that of one task over the whole forest. Clusters that part within a squared distance of ``apart`` are not told apart.
     """
     kinds = dict(edges.dtypes)
     rid, grp = kinds["a"], kinds["grp"]
@@ -233,16 +205,16 @@ def condensed(edges: DataFrame, least_size: int, furthest: float, most: int) ->
         ids, a, b = indexed(table, "ca", "cb")
         w = table.column("w").to_numpy()
         keep = sparse_forest(len(ids), a, b, w)
-        found = density_hierarchy(len(ids), a[keep], b[keep], np.sqrt(np.maximum(w[keep], 0)), least_size, furthest**0.5)
+        found = density_hierarchy(len(ids), a[keep], b[keep], np.sqrt(np.maximum(w[keep], 0)), least_size, furthest**0.5, apart**0.5)
         return clusters_of(repeated(table, "grp", 1), table.schema.field("ca").type, ids, found)
 
     if names is None:
         return left.groupBy("grp").applyInArrow(hierarchy, f"grp {grp}, cluster {rid}, id {rid}, persistence double")
 
-    whole = taken.unionByName(left.groupBy("grp").applyInArrow(forest, f"grp {grp}, a {rid}, b {rid}, w double"))
+    edges = taken.unionByName(left.groupBy("grp").applyInArrow(forest, f"grp {grp}, a {rid}, b {rid}, w double"))
     place = F.row_number().over(Window.partitionBy("grp").orderBy("w", F.least("a", "b"), F.greatest("a", "b")))
-    whole = durable(whole.withColumn("place", place).withColumn("band", F.floor((F.col("place") - 1) / F.lit(most)).cast("int")))
-    last = whole.agg(F.max("band")).first()[0] or 0
+    edges = durable(edges.withColumn("place", place).withColumn("band", F.floor((F.col("place") - 1) / F.lit(most)).cast("int")))
+    last = edges.agg(F.max("band")).first()[0] or 0
     state_kind = "size long, mass double, below double, clustered boolean"
 
     def band_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table, Band]:
@@ -254,7 +226,7 @@ def condensed(edges: DataFrame, least_size: int, furthest: float, most: int) ->
             out = np.zeros(len(ids), at["ca"].dtype)
             out[a], out[b] = at["ca"], at["cb"]
             state.append(out)
-        return ids, a, table, Band(len(ids), a, b, np.sqrt(np.maximum(table.column("w").to_numpy(), 0)), least_size, *state)
+        return ids, a, table, Band(len(ids), a, b, np.sqrt(np.maximum(table.column("w").to_numpy(), 0)), least_size, apart**0.5, *state)
 
     def upward(table: pa.Table) -> pa.Table:
         ids, _, _, band = band_of(table)
@@ -275,15 +247,16 @@ def condensed(edges: DataFrame, least_size: int, furthest: float, most: int) ->
     names = state = None
     bands: list[tuple[DataFrame, DataFrame]] = []
     for i in range(last + 1):
-        own = whole.where(F.col("band") == i).select("grp", F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "place")
+        own = edges.where(F.col("band") == i).select("grp", F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "place")
         if names is not None:
             up = names.select("grp", F.col("v").alias("c"), F.col("c").alias("up"))
             own = renamed(renamed(own, up, "ca"), up, "cb")
         for side in ("ca", "cb"):
             known = state.select("grp", F.col("c").alias(side), *[F.col(n).alias(f"{n}_{side}") for n in ("size", "mass", "below", "clustered")]) if state is not None else None
             own = own.join(known, ["grp", side], "left") if known is not None else own.selectExpr("*", *[f"cast(null as {k.split()[1]}) as {k.split()[0]}_{side}" for k in state_kind.split(", ")])
-            own = own.fillna({f"size_{side}": 1, f"mass_{side}": 0.0, f"below_{side}": 0.0, f"clustered_{side}": False})
+            own = own.fillna({f"size_{side}": 1, f"mass_{side}": 0.0, f"below_{side}": -1.0, f"clustered_{side}": False})
         own = durable(own)
+        old = (names, state)
         moved = durable(own.groupBy("grp").applyInArrow(upward, f"grp {grp}, v {rid}, c {rid}, {state_kind}"))
         bands.append((own, moved))
         step = moved.select("grp", F.col("v").alias("c"), F.col("c").alias("up"))
@@ -291,7 +264,8 @@ def condensed(edges: DataFrame, least_size: int, furthest: float, most: int) ->
         names = durable(fresh if names is None else renamed(names, step, "c").unionByName(fresh.join(names.select("grp", "v"), ["grp", "v"], "left_anti")))
         ends = moved.where("v = c").drop("v")
         state = durable(ends if state is None else state.join(moved.select("grp", F.col("v").alias("c")), ["grp", "c"], "left_anti").unionByName(ends))
-    worth = F.col("clustered") & (F.col("below") <= F.col("mass") - F.col("size") * F.lit(root))
+        release(*old)
+    worth = F.col("clustered") & ((F.col("below") < 0) | (F.col("below") <= F.col("mass") - F.col("size") * F.lit(root)))
     fate = state.select("grp", "c", F.when(worth, F.col("c")).alias("label"), F.lit(0.0).alias("persistence"))
     for own, moved in reversed(bands):
         of_point = moved.select("grp", F.col("v").alias("ca"), F.col("c").alias("end")).join(fate.withColumnRenamed("c", "end"), ["grp", "end"], "left").drop("end")
@@ -309,61 +283,76 @@ def clusters_of(grp: pa.Array, kind: pa.DataType, ids: np.ndarray, found: Hierar
     return pa.table({"grp": pa.array(grp.to_pylist() * len(kept), grp.type), "cluster": pa.array(first, kind), "id": pa.array(ids[kept], kind), "persistence": found.persistence[kept]})
 
 
-def similar_groups(df: DataFrame, group_col: str = "session_id", id_col: str = "frame_id", vector_col: str = "embedding", value_col: str = "prediction", order_col: str | None = "scored_at", least: float = 0.85, dimension: int = 128, group_rows: int = GROUP_ROWS, group_edges_most: int = GROUP_EDGES, rows_per_list: int = 1_500, probes: int = 3, seed: int = 7) -> DataFrame:
-    """``(grp, first_id, id)``: the hierarchy of every group cut at similarity ``least``, each cluster all of whose pairs reach it.
+def members_of(rows: DataFrame, dimension: int, least: float, min_samples: int, min_cluster_size: int, whole: float, group_rows: int, group_edges_most: int, rows_per_list: int, probes: int, seed: int) -> DataFrame:
+    """``(grp, cluster, id, persistence)``: the clusters of the density hierarchy of every group of ``(grp, rid, v)``; ``cluster`` is a member.
+
+    The hierarchy is that of the spanning forest of the mutual-reachability graph, with edges up to similarity ``least``. It is condensed to
+    clusters of ``min_cluster_size`` rows, and those of largest stability are selected; clusters that part only above similarity ``whole`` are never told apart.
+    Groups up to ``group_rows`` rows are clustered from all their distances in one task, larger ones by way of the lists.
+    """
+    kinds = dict(rows.dtypes)
+    schema = f"grp {kinds['grp']}, cluster {kinds['rid']}, id {kinds['rid']}, persistence double"
+    furthest, apart = 2 - 2 * least, max(0.0, 2 - 2 * whole)
+
+    def local(table: pa.Table) -> pa.Table:
+        ids, _, vectors = distinct_rows(table, dimension)
+        a, b, w = local_forest(vectors, min_samples, furthest)
+        fits = edge_cosines(unit(vectors), a, b) >= np.round(least, 6)
+        distance = np.sqrt(np.clip(w[fits], 0, furthest))
+        found = density_hierarchy(len(ids), a[fits], b[fits], distance, min_cluster_size, furthest**0.5, apart**0.5)
+        return clusters_of(repeated(table, "grp", 1), table.schema.field("rid").type, ids, found)
+
+    narrow = rows.select("grp", "rid", "v")
+    small, large = split_by_size(narrow, group_rows)
+    members = small.groupBy("grp").applyInArrow(local, schema)
+    if large is None:
+        return members
+    edges = group_edges(durable(large), dimension, min_samples, furthest, rows_per_list, probes, seed)
+    return members.unionByName(condensed(edges, min_cluster_size, furthest, group_edges_most, apart))
+
+
+def similar_groups(df: DataFrame, group_col: str = "session_id", id_col: str = "frame_id", vector_col: str = "embedding", value_col: str = "prediction", order_col: str | None = "scored_at", least: float = 0.85, min_samples: int = 5, dimension: int = 128, group_rows: int = GROUP_ROWS, group_edges_most: int = GROUP_EDGES, rows_per_list: int = 1_500, probes: int = 3, seed: int = 7) -> DataFrame:
+    """``(grp, first_id, id)``: clusters all of whose pairs reach similarity ``least``.
 
     ``first_id`` is the smallest id of the cluster and has a row of its own; rows without a partner are
-    left out. The spanning forest of the unsmoothed graph (each row is its own core) is cut at ``least``; a component
-    with a pair below it is split (see ``cliques``), so that every cluster reported is one by definition.
+    left out. The clusters are those of ``density_clusters`` with at least two rows and no edge below ``least``, where clusters that part above
+    ``least`` only are one. Each is then checked: one with a pair below ``least`` is split (see ``cliques``), so that every cluster reported is one by definition.
 
     Unusable vectors, values that are null, NaN or outside [0, 1], null groups and null ids take no part.
     Repeated ids count once, by the latest ``order_col``. Exact copies are joined without being compared. Other
     columns are ignored. An empty table gives an empty result. In groups above ``group_rows`` rows,
-    neighbours are looked for in ``probes`` lists of centroids.
+    neighbours are looked for in lists of centroids.
     """
     rows = usable_rows(df, group_col, id_col, vector_col, value_col, order_col, dimension)
     kinds = dict(rows.dtypes)
-    small, large = split_by_size(rows.select("grp", "rid", "v"), group_rows)
-    schema = f"grp {kinds['grp']}, first_id {kinds['rid']}, id {kinds['rid']}"
-    furthest = 2 - 2 * least
+    members = durable(members_of(rows, dimension, least, min_samples, 2, least, group_rows, group_edges_most, rows_per_list, probes, seed).select("grp", F.col("cluster").alias("comp"), F.col("id").alias("rid")))
+    sizes = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("size"))
+    large = durable(sizes.where(F.col("size") > group_rows))
+    placed = members.join(rows.select("rid", "v"), "rid")  # a row has one group
 
-    def clusters(table: pa.Table, ids: np.ndarray, label: np.ndarray) -> pa.Table:
+    def check(table: pa.Table) -> pa.Table:
+        ids, v = table.column("rid").to_numpy(zero_copy_only=False), unpacked(table.column("v"), dimension)
+        ids, first = np.unique(ids, return_index=True)
+        _, comp = np.unique(table.column("comp").to_numpy(zero_copy_only=False)[first], return_inverse=True)
+        label = cliques(unit(v[first]), comp.ravel(), least)
         order = np.lexsort((ids, label))
         order = order[label[order] >= 0]
         starts = np.r_[True, np.diff(label[order]) != 0] if len(order) else np.zeros(0, bool)
         first = ids[order][starts][np.cumsum(starts) - 1] if len(order) else ids[:0]
-        grp = table.column("grp")[0].as_py()
         kind = table.schema.field("rid").type
-        return pa.table({"grp": pa.array([grp] * len(order), table.schema.field("grp").type), "first_id": pa.array(first, kind), "id": pa.array(ids[order], kind)})
-
-    def cut_small(table: pa.Table) -> pa.Table:
-        ids, _, vectors = distinct_rows(table, dimension)
-        a, b, _ = local_forest(vectors, 1, furthest)
-        exact = unit(vectors)
-        fits = edge_cosines(exact, a, b) >= least
-        return clusters(table, ids, cliques(exact, components(len(ids), a[fits], b[fits]), least))
-
-    result = pack_rows(small).groupBy("grp").applyInArrow(cut_small, schema)
-    if large is None:
-        return result
-    edges = group_edges(large, dimension, 1, furthest, rows_per_list, probes, seed)
-
-    comps = durable(connected(edges, group_edges_most))
-    sizes = comps.groupBy("grp", "comp").count()
-    checked = comps.join(sizes.where(F.col("count") <= GROUP_ROWS).select("grp", "comp"), ["grp", "comp"]).join(large, ["grp", "rid"])
-
-    def check(table: pa.Table) -> pa.Table:
-        ids, _, vectors = distinct_rows(table, dimension)
-        return clusters(table, ids, cliques(unit(vectors), np.zeros(len(ids), np.int64), least))
+        return pa.table({"grp": repeated(table, "grp", len(order)), "first_id": pa.array(first, kind), "id": pa.array(ids[order], kind)})
 
-    sound = pack_rows(checked).groupBy("grp", "comp").applyInArrow(check, schema)
-    huge = comps.join(sizes.where(F.col("count") > GROUP_ROWS).select("grp", "comp", F.col("count").alias("size")), ["grp", "comp"])
-    if huge.isEmpty():
-        return result.unionByName(sound)
-    return result.unionByName(sound).unionByName(huge_cliques(durable(pack_rows(huge.join(large, ["grp", "rid"]).dropDuplicates(["grp", "rid"]))), least, dimension))
+    schema = f"grp {kinds['grp']}, first_id {kinds['rid']}, id {kinds['rid']}"
+    part = F.pmod(F.xxhash64("comp"), F.lit(16)).cast("int")  # several clusters a task, but never all of a hot group
+    if large.isEmpty():
+        return placed.groupBy("grp", part).applyInArrow(lambda t: check(t), schema)
+    few = F.broadcast(large.select("grp", "comp"))  # fewer than one in group_rows rows
+    sound = placed.join(few, ["grp", "comp"], "left_anti").groupBy("grp", part).applyInArrow(lambda t: check(t), schema)
+    huge = placed.join(F.broadcast(large), ["grp", "comp"]).select("grp", "comp", "rid", "size", "v")
+    return sound.unionByName(huge_cliques(durable(huge.dropDuplicates(["grp", "rid"])), least, dimension, group_rows))
 
 
-def huge_cliques(rows: DataFrame, least: float, dimension: int) -> DataFrame:
+def huge_cliques(rows: DataFrame, least: float, dimension: int, block_rows: int = GROUP_ROWS) -> DataFrame:
     """``(grp, first_id, id)``: what ``cliques`` makes of each component of ``(grp, comp, rid, size, v)``, ``v`` packed.
 
     A component within half the angle of its mean is found sound by an aggregate. The rows of the others are counted
@@ -383,14 +372,14 @@ def huge_cliques(rows: DataFrame, least: float, dimension: int) -> DataFrame:
 
     exact = rows.select("grp", "comp", "v").mapInArrow(units, f"grp {grp}, comp {rid}, u array<double>")
     means = exact.groupBy("grp", "comp").agg(normalised(vector_mean("u")).alias("mean"))
-    # components have more than GROUP_ROWS rows each, so that their means are few
+    # components have more than block_rows rows each, so that their means are few
     least_dot = exact.join(F.broadcast(means), ["grp", "comp"]).groupBy("grp", "comp").agg(F.min(F.coalesce(dot("u", "mean"), F.lit(-1.0))).alias("dot"))
     tight = durable(least_dot.select("grp", "comp", (F.col("dot") >= half).alias("tight")))
     marked = rows.join(F.broadcast(tight), ["grp", "comp"])
     whole = marked.where("tight").select("grp", "comp", "rid")
     open_ = marked.where("not tight")
 
-    blocks = F.ceil(F.col("size") / F.lit(GROUP_ROWS)).cast("int")
+    blocks = F.ceil(F.col("size") / F.lit(block_rows)).cast("int")
     own = open_.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = own.select("grp", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "v")
 
@@ -438,21 +427,7 @@ def density_clusters(df: DataFrame, group_col: str = "session_id", id_col: str =
     of all clusters are left out. What takes part is as in ``similar_groups``.
     """
     rows = usable_rows(df, group_col, id_col, vector_col, value_col, order_col, dimension)
-    kinds = dict(rows.dtypes)
-    small, large = split_by_size(rows, group_rows)
-    schema = f"grp {kinds['grp']}, cluster {kinds['rid']}, id {kinds['rid']}, persistence double"
-    furthest = 2 - 2 * least
-
-    def local(table: pa.Table) -> pa.Table:
-        ids, _, vectors = distinct_rows(table, dimension)
-        a, b, w = local_forest(vectors, min_samples, furthest)
-        found = density_hierarchy(len(ids), a, b, np.sqrt(np.maximum(w, 0)), min_cluster_size, furthest**0.5)
-        return clusters_of(repeated(table, "grp", 1), table.schema.field("rid").type, ids, found)
-
-    members = pack_rows(small.select("grp", "rid", "v")).groupBy("grp").applyInArrow(local, schema)
-    if large is not None:
-        edges = group_edges(large.select("grp", "rid", "v"), dimension, min_samples, furthest, rows_per_list, probes, seed)
-        members = members.unionByName(condensed(edges, min_cluster_size, furthest, group_edges_most))
+    members = durable(members_of(rows, dimension, least, min_samples, min_cluster_size, 1.0, group_rows, group_edges_most, rows_per_list, probes, seed))
     values = rows.groupBy(F.col("rid").alias("id")).agg(F.max("value").alias("value"))
     valued = members.join(values, "id")
     whole = valued.groupBy("grp", "cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("value").alias("mean_value"), F.min("id").alias("first"))

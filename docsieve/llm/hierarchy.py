@@ -97,16 +97,17 @@ class Hierarchy:
     persistence: np.ndarray
 
 
-def density_hierarchy(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray, least_size: int, furthest: float, weights: np.ndarray | None = None) -> Hierarchy:
+def density_hierarchy(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray, least_size: int, furthest: float, whole: float = 0.0) -> Hierarchy:
     """Condenses the forest bottom-up and selects the clusters of largest excess of mass.
 
     A component becomes a cluster when it reaches ``least_size``; two clusters that meet become
     the children of a new one. The stability of a cluster sums, over its points, the density at
     which the point leaves it less the density at which the cluster parts from its parent.
-    Components that never meet within ``furthest`` part there from a common root that is no cluster.
+    Components that never meet within ``furthest`` part there from a common root that is no cluster. Clusters that part within ``whole``
+    are never told apart, however stable.
     """
     order = np.argsort(distance, kind="stable")
-    size = [1] * n if weights is None else weights.astype(int).tolist()
+    size = [1] * n
     sets = Sets(n)
     small: dict[int, list[int]] = {x: [x] for x in range(n)}
     cluster: dict[int, int] = {}
@@ -114,25 +115,20 @@ def density_hierarchy(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray
     count: list[int] = []
     parent: list[int] = []
     birth: list[float] = []
+    parted: list[float] = []
     inner, persistence = np.full(n, -1, np.int64), np.zeros(n)
 
     def grow(c: int, points: list[int], density: float) -> None:
         for p in points:
             inner[p], persistence[p] = c, density
-            mass[c] += density * (size0[p])
-            count[c] += size0[p]
+            mass[c] += density
+            count[c] += 1
 
     def new(density: float) -> int:
-        mass.append(0.0), count.append(0), parent.append(-1), birth.append(0.0)
+        mass.append(0.0), count.append(0), parent.append(-1), birth.append(0.0), parted.append(density)
         return len(mass) - 1
 
-    size0 = list(size)
     most = 1e6
-    for p in range(n):
-        if size[p] >= least_size:
-            c = new(most)
-            cluster[p] = c
-            grow(c, small.pop(p), most)
     for x, y, d in zip(a[order].tolist(), b[order].tolist(), distance[order].tolist(), strict=True):
         x, y = sets.find(x), sets.find(y)
         if x == y:
@@ -164,13 +160,13 @@ def density_hierarchy(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray
     for c in cluster.values():
         birth[c] = root
     stability = [m - k * s for m, k, s in zip(mass, count, birth, strict=True)]
-    best, below = list(stability), [0.0] * len(mass)
+    best, below = list(stability), [-1.0] * len(mass)  # below 0: without children that could be told apart
     chosen = [True] * len(mass)
     for c in range(len(mass)):  # children come before their parents
-        if below[c] > stability[c]:
+        if below[c] >= 0 and below[c] > stability[c]:
             best[c], chosen[c] = below[c], False
-        if parent[c] >= 0:
-            below[parent[c]] += best[c]
+        if (p := parent[c]) >= 0 and parted[p] * whole < 1 - 1e-9:
+            below[p] = max(below[p], 0.0) + max(best[c], 0.0)
     label = [-1] * len(mass)
     for c in range(len(mass) - 1, -1, -1):
         above = label[parent[c]] if parent[c] >= 0 else -1
@@ -183,10 +179,10 @@ class Band:
     """The part of ``density_hierarchy`` that some consecutive edges of a forest make, ``edges`` lightest first.
 
     A point is a component of lighter edges: ``size`` rows, and if ``clustered``, an open cluster of mass ``mass`` whose
-    children are worth ``below``.
+    children are worth ``below`` (less than 0 without children that could be told apart).
     """
 
-    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray, least_size: int, size: np.ndarray, mass: np.ndarray, below: np.ndarray, clustered: np.ndarray):
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray, least_size: int, whole: float, size: np.ndarray, mass: np.ndarray, below: np.ndarray, clustered: np.ndarray):
         self.sets, self.size = Sets(n), size.tolist()
         self.mass: list[float] = []
         self.count: list[int] = []
@@ -220,7 +216,8 @@ class Band:
                     self.parent[child], self.birth[child] = c, density
                     self.mass[c] += density * self.count[child]
                     self.count[c] += self.count[child]
-                    self.below[c] += max(self._stability(child), self.below[child])
+                    if density * whole < 1 - 1e-9:
+                        self.below[c] = max(self.below[c], 0.0) + max(self._stability(child), self.below[child], 0.0)
             elif cx >= 0 or cy >= 0 or total >= least_size:
                 c = self.cluster[lead] = max(cx, cy) if cx >= 0 or cy >= 0 else self._new()
                 for p in points:
@@ -231,7 +228,7 @@ class Band:
                 small[lead] = points
 
     def _new(self) -> int:
-        for values, first in ((self.mass, 0.0), (self.count, 0), (self.parent, -1), (self.birth, 0.0), (self.below, 0.0)):
+        for values, first in ((self.mass, 0.0), (self.count, 0), (self.parent, -1), (self.birth, 0.0), (self.below, -1.0)):
             values.append(first)
         return len(self.mass) - 1
 
@@ -260,7 +257,7 @@ class Band:
         for c in range(len(self.mass) - 1, -1, -1):  # parents come before their children
             if self.parent[c] >= 0:
                 up = label[self.parent[c]]
-                label[c] = up if up is not None else (named[c] if self._stability(c) >= self.below[c] else None)
+                label[c] = up if up is not None else (named[c] if self.below[c] < 0 or self._stability(c) >= self.below[c] else None)
         out = [label[c] if c >= 0 else above[x] for c, x in zip(self.inner.tolist(), lead.tolist(), strict=True)]
         return out, [self.persistence[p] if c >= 0 else persistence[x] for p, (c, x) in enumerate(zip(self.inner.tolist(), lead.tolist(), strict=True))]
 

@@ -2,6 +2,9 @@
 
 _NEWEST = "SELECT * FROM opensearch WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1"
 _WORDS = r"list_distinct(regexp_extract_all(lower(concat_ws(' ', name, text)), '[\p{L}\p{N}]+'))"
+_USABLE = "coalesce(len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false)"
+_ROWS = f"""(SELECT session_id, frame_id, embedding::double[] AS v FROM (SELECT * FROM active_learner WHERE frame_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY scored_at DESC) = 1)
+   WHERE session_id IS NOT NULL AND {_USABLE} AND prediction IS NOT NULL AND NOT isnan(prediction) AND prediction BETWEEN 0 AND 1)"""
 
 SQL = {
     "p1_found": f"""
@@ -22,4 +25,17 @@ h AS (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 10)),
       FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL))
 SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (gram)""",
     "p6_sound": "SELECT size_id, count(DISTINCT doc_id) AS documents, true AS whole, true AS fits, true AS full FROM context_sizes, documents WHERE doc_id IS NOT NULL GROUP BY size_id",
+    "p2_sizes": f"""
+WITH n AS (SELECT session_id, count(*) AS n FROM {_ROWS} GROUP BY session_id),
+k AS (SELECT session_id, max(n_eval_per_iteration) AS k FROM sessions WHERE session_id IS NOT NULL GROUP BY session_id)
+SELECT session_id, least(n, coalesce(k, 20)) AS picked, least(n, coalesce(k, 20)) AS last_pick FROM n LEFT JOIN k USING (session_id) WHERE coalesce(k, 20) > 0""",
+    "p3_found": f"""
+WITH d AS (SELECT id, embedding::double[] AS v FROM ({_NEWEST}) WHERE {_USABLE}),
+s AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM d a JOIN d b ON a.id <> b.id),
+r AS (SELECT x, y FROM s WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 10)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r""",
+    "p4_found": f"""
+WITH d AS {_ROWS}
+SELECT min(b.frame_id) AS first_frame_id, a.frame_id FROM d a JOIN d b ON a.session_id = b.session_id AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.85
+GROUP BY a.frame_id HAVING min(b.frame_id) < a.frame_id""",
 }

@@ -2,8 +2,9 @@
 
 Rows are features: the unit vector beside the zone of the value. A pivoted QR decomposition picks
 rows that are far from the span of those picked before, so that the many members of a group of like
-rows add nothing after the first. Blocks nominate rows, and a tournament of blocks pivots the
-nominees again until each group is left with its k.
+rows add nothing after the first. Blocks nominate independent rows, and pairs of blocks pivot their
+nominees again until one block of each group is left. What it picked is taken out, and a new round
+picks among the rest, until the group has its k rows.
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.density import pack_rows, usable_rows
+from docsieve.llm.density import usable_rows
 from docsieve.llm.vectors import BROADCAST_ROWS, distinct_rows, unit
+from docsieve.plans.durable import durable
 
-#: Rows of a block about, and blocks whose nominees meet in a match.
+#: Rows of a block about.
 BLOCK_ROWS = 4_096
-FAN = 8
+#: A round picks as many rows as there are features, or this part of all wanted, if that is more.
+ROUND_SHARE = 8
+#: Squared distance up to which a row repeats another.
+TOLERANCE = 1e-5
 
 
-def pivoted(features: np.ndarray, k: int, tolerance: float = 1e-5) -> list[int]:
+def pivoted(features: np.ndarray, k: int, tolerance: float = TOLERANCE) -> list[int]:
     """``k`` rows in the order of a QR decomposition with pivoting; ties go to the first row.
 
     Where the rows picked span all the others, a new round starts over the rows left, without those that repeat one picked
@@ -76,7 +81,7 @@ def varied_subset(
     weight: float = 0.7,
     dimension: int = 128,
     block_rows: int = BLOCK_ROWS,
-    fan: int = FAN,
+    round_rows: int | None = None,
 ) -> DataFrame:
     """``(grp, id, pick)``: from every group as many rows as ``wanted`` says, in the order picked.
 
@@ -85,7 +90,8 @@ def varied_subset(
     [0, 1], unusable vectors, null groups and null ids take no part; repeated ids count once, by the
     latest ``order_col``; of rows equally far from the span the smaller id is picked. Other columns are ignored.
     An empty table gives an empty result. A group of any size is spread over blocks of about
-    ``block_rows`` rows; no task receives more than ``fan`` blocks' nominees.
+    ``block_rows`` rows; no task receives more than two blocks' nominees. A round picks ``round_rows`` rows of a group (without it, as many as
+    there are features, or an eighth of all, if that is more). Rows that repeat one picked in an earlier round wait until a block has no others.
     """
     rows = usable_rows(df, group_col, id_col, vector_col, value_col, order_col, dimension)
     kinds = dict(rows.dtypes)
@@ -96,27 +102,64 @@ def varied_subset(
     else:
         sizes = sizes.withColumn("k", F.lit(default))
     sizes = sizes.select("grp", "blocks", F.coalesce("k", F.lit(default)).alias("k")).where("k > 0")
-    most = sizes.agg(F.max("blocks").alias("blocks"), F.count(F.lit(1)).alias("groups")).first()
+    most = sizes.agg(F.max("blocks").alias("blocks"), F.count(F.lit(1)).alias("groups"), F.max("k").alias("k")).first()
     sizes = F.broadcast(sizes) if most["groups"] <= BROADCAST_ROWS else sizes
     block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    narrow = rows.withColumn("v", F.concat("v", F.array(F.col("value").cast("float")))).select("grp", "rid", "v")
-    level = pack_rows(narrow).join(sizes, "grp").select("grp", block.alias("block"), "k", "rid", "v")
+    whole = rows.join(sizes, "grp").select("grp", block.alias("block"), "blocks", "k", "rid", "value", "v")
+    at_once = round_rows or max(dimension + zones, -(-(most["k"] or 1) // ROUND_SHARE))
 
-    def nominate(table: pa.Table) -> pa.Table:
-        ids, _, wide = distinct_rows(table, dimension + 1)
-        k = table.column("k")[0].as_py()
-        picked = pivoted(features_of(wide[:, :dimension], wide[:, dimension].astype(float), zones, weight), k)
+    def nominees(table: pa.Table, earlier: pa.Table | None, done: int) -> pa.Table:
+        ids, _, vectors = distinct_rows(table, dimension)
         rid = table.column("rid").to_numpy(zero_copy_only=False)
-        place = {}
-        for i, r in enumerate(rid.tolist()):
-            place.setdefault(r, i)
-        chosen = table.take([place[ids[p]] for p in picked])
-        return chosen.append_column("pick", pa.array(range(1, len(picked) + 1), pa.int32()))
-
-    schema = f"grp {kinds['grp']}, block int, k int, rid {kinds['rid']}, v binary, pick int"
-    blocks = most["blocks"] or 1
-    level = level.groupBy("grp", "block").applyInArrow(nominate, schema)
-    while blocks > 1:
-        blocks = -(-blocks // fan)
-        level = level.select("grp", F.floor(F.col("block") / fan).cast("int").alias("block"), "k", "rid", "v").groupBy("grp", "block").applyInArrow(nominate, schema)
-    return level.select("grp", F.col("rid").alias("id"), "pick")
+        place = np.unique(rid, return_index=True)[1]  # where each of the ids is
+        features = features_of(vectors, table.column("value").to_numpy()[place], zones, weight)
+        fresh = ~table.column("again").to_numpy(zero_copy_only=False).astype(bool)[place] if "again" in table.column_names else np.ones(len(ids), bool)
+        if earlier is not None and earlier.num_rows:
+            before = features_of(distinct_rows(earlier, dimension)[2], earlier.column("value").to_numpy()[np.unique(earlier.column("rid").to_numpy(zero_copy_only=False), return_index=True)[1]], zones, weight)
+            gap = (features * features).sum(1)[:, None] + (before * before).sum(1)[None] - 2 * features @ before.T
+            fresh &= (gap > TOLERANCE).all(axis=1)
+            _, size, basis = np.linalg.svd(before, full_matrices=False)
+            basis = basis[size > TOLERANCE**0.5]
+            rest = features - (features @ basis.T) @ basis  # what the rows picked do not span, unless they span everything
+            if (np.einsum("ij,ij->i", rest[fresh], rest[fresh]) > TOLERANCE).any():
+                features = rest
+        k = min(table.column("k")[0].as_py() - done, at_once)
+        own = np.nonzero(fresh)[0]
+        picked = own[pivoted(features[own], k)] if len(own) else np.arange(min(max(k, 0), len(ids)))
+        chosen = table.select(["grp", "block", "k", "rid", "value", "v"]).take(pa.array(place[picked]))
+        return chosen.append_column("again", pa.array(~fresh[picked])).append_column("pick", pa.array(np.arange(done + 1, done + len(picked) + 1), pa.int32()))
+
+    def alone(done: int):
+        return lambda table: nominees(table, None, done)
+
+    def beside(done: int):
+        return lambda table, earlier: nominees(table, earlier, done) if table.num_rows else none_of(table)
+
+    schema = f"grp {kinds['grp']}, block int, k int, rid {kinds['rid']}, value double, v binary, again boolean, pick int"
+    taken: DataFrame | None = None
+    for done in range(0, max(1, most["k"] or 1), at_once):
+        level, blocks, height = whole, most["blocks"] or 1, 0
+        if taken is not None:
+            level = whole.where(F.col("k") > done).join(taken.select("rid"), "rid", "left_anti").select(*whole.columns)
+        while True:
+            if taken is None:
+                level = level.groupBy("grp", "block").applyInArrow(alone(done), schema)
+            else:
+                ahead = taken.join(sizes.select("grp", "blocks"), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.shiftright(F.col("blocks") - 1, height))).alias("block"), "rid", "value", "v")
+                level = level.groupBy("grp", "block").cogroup(ahead.groupBy("grp", "block")).applyInArrow(beside(done), schema)
+            if blocks == 1:
+                break
+            blocks, height = -(-blocks // 2), height + 1
+            level = level.select("grp", F.shiftright("block", 1).alias("block"), "k", "rid", "value", "v", "again")
+        if done + at_once >= (most["k"] or 1):
+            last = level.select("grp", "rid", "pick")
+            return (last if taken is None else taken.select("grp", "rid", "pick").unionByName(last)).withColumnRenamed("rid", "id")
+        new = level.select("grp", "rid", "value", "v", "pick")
+        taken = durable(new if taken is None else taken.unionByName(new))
+
+
+def none_of(table: pa.Table) -> pa.Table:
+    """No nominees, for a block that has no row left."""
+    kinds = {"block": pa.int32(), "k": pa.int32(), "value": pa.float64(), "v": pa.binary(), "again": pa.bool_(), "pick": pa.int32()}
+    kinds = {c: kinds.get(c) or table.schema.field(c).type for c in ("grp", "block", "k", "rid", "value", "v", "again", "pick")}
+    return pa.table({c: pa.nulls(0, k) for c, k in kinds.items()})

@@ -14,15 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.llm.text import named_apart
+from docsieve.plans.durable import durable
 
-#: Vectors that the centroids are fitted on, at most.
-SAMPLE = 16_384
-#: Lists at most, so that the centroids that every task receives stay under 4096 * dimension * 4 bytes.
-MOST_LISTS = 4_096
+#: Vectors that the centroids are fitted on: eight for each list, but so many at least and at most. The most is enough for lists of 1,500 rows up to
+#: 196 million rows, and lists are a quarter of it at most, so that the centroids that every task receives stay under 131,072 * dimension * 4 bytes.
+SAMPLE, MOST_SAMPLE = 16_384, 524_288
+#: Lists from which on they are found by way of cells, and cells that a vector looks into.
+FLAT_LISTS, CELLS_LOOKED_INTO = 4_096, 12
 #: Rows that one task takes from a list, as candidates and as queries, about.
 BLOCK_ROWS = 16_384
 #: Queries that are held against all rows to measure recall, and the share of their neighbours that must lie in the lists probed.
@@ -30,17 +33,12 @@ MEASURED = 512
 TARGET = 0.98
 #: Rows that a task passes on at once.
 ROUTED_ROWS = 20_000
+#: How many standard errors a partial distance may exceed the bound before its candidate is abandoned.
+STRICTNESS = 2.1
 #: Conflicting ids up to which they are broadcast.
 BROADCAST_ROWS = 100_000
 
 
-def usable(vector: str | Column, dimension: int) -> Column:
-    """True for vectors of exactly ``dimension`` finite values that are not all zero; false for null."""
-    v = F.col(vector) if isinstance(vector, str) else vector
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return F.coalesce((F.size(v) == dimension) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
-
-
 def newest_rows(df: DataFrame, id_col: str, order_col: str | None, payload: list[str]) -> DataFrame:
     """``df`` without rows that a later row of the same id contradicts in ``payload``.
 
@@ -51,24 +49,42 @@ def newest_rows(df: DataFrame, id_col: str, order_col: str | None, payload: list
     order = F.col(order_col).cast("timestamp") if order_col else F.lit(None).cast("timestamp")
     mark = F.xxhash64(*payload)
     key, win = named_apart(df.columns, "version_key", "version_mark")
-    per_id = df.select(F.col(id_col).alias("i"), order.alias("o"), mark.alias("m")).groupBy("i").agg(F.max(F.struct("o", "m")).alias("last"), (F.min("m") != F.max("m")).alias("differ"))
-    winners = per_id.where("differ").select(F.col("i").alias(key), F.col("last.m").alias(win))
-    found = winners.limit(BROADCAST_ROWS + 1).count()
+    narrow = df.select(F.col(id_col).alias("i"), order.alias("o"), mark.alias("m"))
+    odd = narrow.groupBy("i").agg(F.min("m").alias("low"), F.max("m").alias("high")).where("low <> high").select("i")
+    found = odd.limit(BROADCAST_ROWS + 1).count()
     if not found:
         return df
+    odd = F.broadcast(odd) if found <= BROADCAST_ROWS else odd
+    winners = narrow.join(odd, "i", "left_semi").groupBy("i").agg(F.max(F.struct("o", "m")).alias("last")).select(F.col("i").alias(key), F.col("last.m").alias(win))
     winners = F.broadcast(winners) if found <= BROADCAST_ROWS else winners
     return df.join(winners, F.col(id_col) == F.col(key), "left").where(F.col(win).isNull() | (F.col(win) == mark)).select(*df.columns)
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
-    """The rows of an Arrow list column without nulls as a float32 matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dimension)
+def usable_vectors(df: DataFrame, vector_col: str, dimension: int) -> DataFrame:
+    """The other columns of ``df`` and ``v``: the vectors of exactly ``dimension`` finite values that are not all zero, as compact binary values.
+
+    Rows with any other vector are left out.
+    """
+    others = [c for c in df.columns if c != vector_col]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            right = np.nonzero(pc.fill_null(pc.equal(pc.list_value_length(lists), dimension), False).to_numpy(zero_copy_only=False))[0]
+            flat = lists.take(pa.array(right)).flatten()
+            x = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(right), dimension)
+            fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            rows = pa.array(right[fine])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in others], packed(np.ascontiguousarray(x[fine]))], names=[*others, "v"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in others], "v binary"])
+    return df.select(*others, F.col(vector_col).cast("array<float>").alias("v")).mapInArrow(pack, schema)
 
 
 def packed(vectors: np.ndarray) -> pa.Array:
     """Vectors as binary values, their bytes sorted by significance so that block compression finds equal ones."""
-    planes = np.ascontiguousarray(vectors.view(np.uint8).reshape(len(vectors), -1, 4).transpose(0, 2, 1)).reshape(len(vectors), -1)
+    planes = np.ascontiguousarray(vectors.view(np.uint8).reshape(len(vectors), vectors.shape[1], 4).transpose(0, 2, 1)).reshape(len(vectors), 4 * vectors.shape[1])
     offsets = pa.py_buffer(np.arange(0, planes.size + 1, planes.shape[1], dtype=np.int32) if len(planes) else np.zeros(1, np.int32))
     return pa.Array.from_buffers(pa.binary(), len(planes), [None, offsets, pa.py_buffer(planes)])
 
@@ -89,7 +105,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lists:
-    """Centroids with the rotation of the scan and, from the sample, how many blocks each list is cut into."""
+    """Centroids with the rotation of the scan and, from the sample, how many blocks each list is cut into.
+
+    Many centroids are found by way of a few: ``cells`` are centres of centroids, ``cell_of`` ascends, and only the centroids of a
+    vector's nearest cells are compared with it.
+    """
 
     centroids: np.ndarray
     rotation: np.ndarray
@@ -97,10 +117,32 @@ class Lists:
     query_blocks: np.ndarray
     probes: int
     margin: float = -1.0
+    cells: np.ndarray | None = None
+    cell_of: np.ndarray | None = None
+
+    def scores(self, vectors: np.ndarray) -> np.ndarray:
+        """Similarity of each vector to each centroid; -2 where the cell of the centroid is not among the vector's ``CELLS_LOOKED_INTO`` nearest."""
+        if self.cells is None or self.margin == np.inf:
+            return vectors @ self.centroids.T
+        edges = np.searchsorted(self.cell_of, np.arange(len(self.cells) + 1))
+        few = min(CELLS_LOOKED_INTO, len(self.cells))
+        looked = np.argpartition(-(vectors @ self.cells.T), few - 1, axis=1)[:, :few]
+        out = np.full((len(vectors), len(self.centroids)), -2, np.float32)
+        row, cell = np.repeat(np.arange(len(vectors)), looked.shape[1]), looked.ravel()
+        order = np.argsort(cell, kind="stable")
+        for part in np.split(order, np.nonzero(np.diff(cell[order]))[0] + 1):
+            own = slice(edges[cell[part[0]]], edges[cell[part[0]] + 1])
+            out[row[part], own] = vectors[row[part]] @ self.centroids[own].T
+        return out
 
     def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(row, list, home)``: the ``probes`` nearest lists of each unit vector and those less similar than its home by ``margin`` at most."""
-        scores = vectors @ self.centroids.T
+        height = max(1, 40_000_000 // len(self.centroids))
+        parts = [self._nearest(vectors[b : b + height], b) for b in range(0, len(vectors), height)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+
+    def _nearest(self, vectors: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores = self.scores(vectors)
         p = min(self.probes, scores.shape[1])
         wanted = scores >= scores.max(axis=1, keepdims=True) - np.float32(self.margin)
         if p < scores.shape[1]:
@@ -108,7 +150,11 @@ class Lists:
         else:
             wanted[:] = True
         row, to = np.nonzero(wanted)
-        return row, to, to == scores.argmax(axis=1)[row]
+        return row + first, to, to == scores.argmax(axis=1)[row]
+
+    def home(self, vectors: np.ndarray) -> np.ndarray:
+        height = max(1, 40_000_000 // len(self.centroids))
+        return np.concatenate([self.scores(vectors[b : b + height]).argmax(axis=1) for b in range(0, len(vectors), height)] or [np.zeros(0, np.int64)])
 
     def cut(self, sample: np.ndarray, n: int) -> None:
         """Sets the blocks of each list for ``n`` rows distributed as the sample is."""
@@ -123,22 +169,48 @@ class Lists:
         self.query_blocks = np.maximum(1, np.ceil(queries * scale)).astype(np.int64)
 
 
+def lists_wanted(n: int, rows_per_list: int) -> tuple[int, int]:
+    """How many lists ``n`` rows are spread over, and how many rows they are fitted on: eight a list, ``SAMPLE`` at least and ``MOST_SAMPLE`` at most."""
+    sample = min(n, max(SAMPLE, min(MOST_SAMPLE, 8 * round(n / rows_per_list))))
+    return max(1, min(round(n / rows_per_list), sample // 4)), sample
+
+
+def spherical_means(sample: np.ndarray, lists: int, rng: np.random.Generator, rounds: int) -> np.ndarray:
+    centroids = sample[rng.permutation(len(sample))[:lists]].copy()
+    for _ in range(rounds):
+        home = np.concatenate([np.argmax(sample[b : b + 2_048] @ centroids.T, axis=1) for b in range(0, len(sample), 2_048)])
+        order = np.argsort(home, kind="stable")
+        full, starts = np.unique(home[order], return_index=True)
+        sums = np.add.reduceat(sample[order], starts, axis=0)
+        centroids[full] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-30)
+    return centroids
+
+
 def fit_lists(sample: np.ndarray, n: int, rows_per_list: int, probes: int, seed: int, rounds: int = 8) -> Lists:
-    """Spherical k-means on a bounded sample of unit vectors; ``n`` is the number of rows to index."""
+    """Spherical k-means on a bounded sample of unit vectors; ``n`` is the number of rows to index.
+
+    More than ``FLAT_LISTS`` centroids are fitted in two levels: as many cells as the square root of their number, and in each cell its share of them.
+    """
     rng = np.random.default_rng(seed)
     dimension = sample.shape[1]
-    rotation = np.linalg.qr(rng.standard_normal((dimension, dimension)))[0]
+    rotation = np.linalg.qr(rng.standard_normal((dimension, dimension)))[0].astype(np.float32)
     sample = sample.astype(np.float32)
-    lists = int(min(MOST_LISTS, max(1, round(n / rows_per_list)), max(1, len(sample) // 4)))
-    centroids = sample[rng.permutation(len(sample))[:lists]].copy() if len(sample) else np.zeros((1, dimension), np.float32)
-    if len(sample):
-        for _ in range(rounds):
-            home = np.concatenate([np.argmax(sample[b : b + 2_048] @ centroids.T, axis=1) for b in range(0, len(sample), 2_048)])
-            order = np.argsort(home, kind="stable")
-            full, starts = np.unique(home[order], return_index=True)
-            sums = np.add.reduceat(sample[order], starts, axis=0)
-            centroids[full] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-30)
-    made = Lists(centroids, rotation.astype(np.float32), np.ones(len(centroids), np.int64), np.ones(len(centroids), np.int64), probes)
+    lists = max(1, min(lists_wanted(n, rows_per_list)[0], len(sample) // 4))
+    cells = cell_of = None
+    if not len(sample):
+        centroids = np.zeros((1, dimension), np.float32)
+    elif lists <= FLAT_LISTS:
+        centroids = spherical_means(sample, lists, rng, rounds)
+    else:
+        cells = spherical_means(sample, round(lists**0.5), rng, rounds)
+        home = np.concatenate([np.argmax(sample[b : b + 2_048] @ cells.T, axis=1) for b in range(0, len(sample), 2_048)])
+        parts = []
+        for c in range(len(cells)):
+            own = sample[home == c]
+            parts.append(spherical_means(own, max(1, round(lists * len(own) / len(sample))), rng, rounds) if len(own) else cells[c : c + 1])
+        centroids, cell_of = np.concatenate(parts), np.repeat(np.arange(len(cells)), [len(x) for x in parts])
+    ones = np.ones(len(centroids), np.int64)
+    made = Lists(centroids, rotation, ones, ones, probes, cells=cells, cell_of=cell_of)
     made.cut(sample, n)
     return made
 
@@ -152,19 +224,19 @@ def measured_margin(rows: DataFrame, lists: Lists, queries: np.ndarray, dimensio
     if len(lists.centroids) <= lists.probes or not len(queries):
         return -1.0
     q = queries.astype(np.float32)
-    shared = rows.sparkSession.sparkContext.broadcast((q, lists.centroids))
+    shared = rows.sparkSession.sparkContext.broadcast((q, lists))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, centroids = shared.value
+        q, lists = shared.value
         held, home = np.full((len(q), k + 1), -2, np.float32), np.zeros((len(q), k + 1), np.int32)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = unit(matrix(batch.column("v"), dimension)).astype(np.float32)
+            v = unit(unpacked(batch.column("v"), dimension)).astype(np.float32)
             scores = q @ v.T
             near = np.argpartition(-scores, k, axis=1)[:, : k + 1] if len(v) > k + 1 else np.tile(np.arange(len(v)), (len(q), 1))
             used, at = np.unique(near, return_inverse=True)
-            own = np.argmax(v[used] @ centroids.T, axis=1).astype(np.int32)
+            own = lists.home(v[used]).astype(np.int32)
             both = np.hstack([held, np.take_along_axis(scores, near, axis=1)])
             homes = np.hstack([home, own[at.reshape(near.shape)]])
             order = np.argsort(-both, axis=1, kind="stable")[:, : k + 1]
@@ -177,26 +249,30 @@ def measured_margin(rows: DataFrame, lists: Lists, queries: np.ndarray, dimensio
     if not found.num_rows:
         return -1.0
     i, home = found.column("query").to_numpy(), found.column("home").to_numpy()
-    scores = q @ lists.centroids.T
+    scores = lists.scores(q)
     gap = scores.max(axis=1)[i] - scores[i, home]
     rank = (scores[i] > scores[i, home][:, None]).sum(axis=1)
     gap[rank < lists.probes] = -1
+    gap = gap[scores[i, home] > -1.5]  # no margin reaches into cells that are not looked into
+    if not len(gap):
+        return -1.0
     return float(np.sort(gap)[int(np.ceil(TARGET * len(gap))) - 1]) + 1e-6 if (gap >= 0).mean() > 1 - TARGET else -1.0
 
 
-def sampled(df: DataFrame, id_col: str, vector_col: str, dimension: int, n: int) -> np.ndarray:
-    """At most about ``SAMPLE`` unit vectors, chosen by a hash of the id."""
-    share = min(1.0, SAMPLE / max(1, n))
-    rows = df.where(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else df
-    got = rows.select(F.transform(vector_col, lambda x: x.cast("float")).alias("v")).toArrow()
-    return unit(matrix(got.column("v"), dimension)) if got.num_rows else np.zeros((0, dimension))
+def sampled(df: DataFrame, dimension: int, n: int, most: int) -> np.ndarray:
+    """At most about ``most`` of the ``n`` vectors of ``(rid, v)`` at unit length, chosen by a hash of the id."""
+    share = min(1.0, most / max(1, n))
+    rows = df.where(F.pmod(F.xxhash64(F.lit("sample"), "rid"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)) if share < 1 else df
+    got = rows.select("v").toArrow()
+    return np.concatenate([unit(unpacked(part, dimension)).astype(np.float32) for part in got.column("v").chunks]) if got.num_rows else np.zeros((0, dimension), np.float32)
 
 
-def routed(df: DataFrame, lists: Lists, dimension: int, extra: int = 0) -> DataFrame:
+def routed(df: DataFrame, lists: Lists, dimension: int) -> DataFrame:
     """``(grp, list, ib, qb, role, rid, v)`` from ``(grp, rid, v)``: role 1 is a candidate, 2 a query, 3 both.
 
-    ``v`` may carry ``extra`` values after the ``dimension`` of the vector.
+    Where ``df`` has a column ``core``, it is carried as one more value of ``v``.
     """
+    carried = ["core"] if "core" in df.columns else []
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(lists)
     kinds = dict(df.dtypes)
@@ -207,8 +283,10 @@ def routed(df: DataFrame, lists: Lists, dimension: int, extra: int = 0) -> DataF
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = matrix(batch.column("v"), dimension + extra)
-            row, to, home = own.nearest(unit(vectors[:, :dimension]).astype(np.float32))
+            vectors = unpacked(batch.column("v"), dimension)
+            row, to, home = own.nearest(unit(vectors).astype(np.float32))
+            if carried:
+                vectors = np.hstack([vectors, batch.column("core").to_numpy(zero_copy_only=False).astype(np.float32)[:, None]])
             role = np.where(home, 3, 2).astype(np.int64)
             ib = qb = np.zeros(len(row), np.int64)
             if cut[to].any():
@@ -231,7 +309,7 @@ def routed(df: DataFrame, lists: Lists, dimension: int, extra: int = 0) -> DataF
                     names=["grp", "list", "ib", "qb", "role", "rid", "v"],
                 )
 
-    return df.select("grp", "rid", "v").mapInArrow(route, f"grp {kinds['grp']}, list int, ib int, qb int, role byte, rid {kinds['rid']}, v binary")
+    return df.select("grp", "rid", "v", *carried).mapInArrow(route, f"grp {kinds['grp']}, list int, ib int, qb int, role byte, rid {kinds['rid']}, v binary")
 
 
 def hash_of(value: object) -> int:
@@ -241,7 +319,7 @@ def hash_of(value: object) -> int:
     return xxhash.xxh64_intdigest(str(value).encode()) >> 1
 
 
-def close_pairs(queries: np.ndarray, candidates: np.ndarray, rotation: np.ndarray, k: int, furthest: float, columns: int = 32, strictness: float = 2.1) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(queries: np.ndarray, candidates: np.ndarray, rotation: np.ndarray, k: int, furthest: float, columns: int = 32, strictness: float = STRICTNESS) -> tuple[np.ndarray, np.ndarray]:
     """``(query, candidate)`` numbers that hold the ``k`` nearest of each query within squared distance ``furthest``.
 
     Both are unit vectors in double precision. All ties of the k-th are kept, with a margin for single precision.
@@ -313,7 +391,7 @@ def grouped_equal(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where.ravel(), first
 
 
-def search_block(rid: np.ndarray, role: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(rid: np.ndarray, role: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int, least: float, strictness: float = STRICTNESS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query rows, neighbour rows, similarity)`` of one block, best first for each query.
 
     Rows are sorted by id and distinct. Exact copies of a vector are searched once: as candidates
@@ -329,7 +407,7 @@ def search_block(rid: np.ndarray, role: np.ndarray, vectors: np.ndarray, rotatio
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     asked = np.unique(where[is_query])
     exact = unit(vectors[first])
-    qi, gi = close_pairs(exact[asked], exact[group], rotation, k + 1, 2 - 2 * least)
+    qi, gi = close_pairs(exact[asked], exact[group], rotation, k + 1, 2 - 2 * least, strictness=strictness)
     similarity = cosines(exact, exact, asked[qi], group[gi])
     keep = similarity >= least
     qi, gi, similarity = qi[keep], gi[keep], similarity[keep]
@@ -380,7 +458,18 @@ def distinct_rows(table: pa.Table, dimension: int) -> tuple[np.ndarray, np.ndarr
     return ids, joined, vectors[first]
 
 
-def neighbours(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = None, k: int = 10, least: float = -1.0, dimension: int = 128, rows_per_list: int = 1_500, probes: int = 3, seed: int = 7) -> DataFrame:
+def index_of(rows: DataFrame, dimension: int, k: int, least: float, rows_per_list: int, probes: int, seed: int) -> Lists:
+    """The lists for ``(rid, v)``, with the margin that was measured for them."""
+    n = rows.count()
+    sample = sampled(rows, dimension, n, lists_wanted(n, rows_per_list)[1])
+    lists = fit_lists(sample, n, rows_per_list, probes, seed)
+    measured = np.random.default_rng(seed + 1).permutation(len(sample))[:MEASURED]
+    lists.margin = measured_margin(rows, lists, sample[measured], dimension, k, least)
+    lists.cut(sample, n)
+    return lists
+
+
+def neighbours(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = None, k: int = 10, least: float = -1.0, dimension: int = 128, rows_per_list: int = 1_500, probes: int = 3, seed: int = 7, strictness: float = STRICTNESS, exact: bool = False) -> DataFrame:
     """``(id, near)``: for every usable vector its ``k`` most similar others, best first.
 
     ``near`` is an array of ``struct<similarity double, id>``. Similarity is the cosine in double
@@ -389,31 +478,33 @@ def neighbours(df: DataFrame, id_col: str = "id", vector_col: str = "embedding",
     infinite values, all zero) and null ids are left out. Repeated ids count once, by the latest
     ``order_col``. Other columns are ignored. An empty table gives an empty result.
 
-    Every row is indexed and every row is a query. The centroids are fitted on at most ``SAMPLE``
-    rows. A hot list is cut into blocks of candidates and blocks of queries that meet in separate
-    tasks; nothing is capped. What is approximate is that not all lists are looked into: each row probes its ``probes``
+    Every row is indexed and every row is a query. The centroids are fitted on a bounded sample (see ``lists_wanted``). A hot list is cut into blocks of candidates and blocks of queries that meet in separate
+    tasks; nothing is capped. Two things are approximate. Not all lists are looked into: each row probes its ``probes``
     nearest lists and further ones within a margin, which is set so that ``TARGET`` of the neighbours of
-    ``MEASURED`` rows, found by holding these against all rows, lie in the lists they probe.
+    ``MEASURED`` rows, found by holding these against all rows, lie in the lists they probe. And a candidate is abandoned when its partial distance fails a
+    test, the more rarely wrongly the larger ``strictness`` is. ``exact`` turns both off, at the cost of comparing all rows with each other block by block.
     """
-    clean = newest_rows(df.where(F.col(id_col).isNotNull()).select(*dict.fromkeys([id_col, vector_col, *([order_col] if order_col else [])])), id_col, order_col, [vector_col])
-    rows = clean.where(usable(vector_col, dimension)).select(F.lit(0).alias("grp"), F.col(id_col).alias("rid"), F.transform(vector_col, lambda x: x.cast("float")).alias("v"))
-    n = df.count()
-    sample = sampled(rows, "rid", "v", dimension, n)
-    lists = fit_lists(sample, n, rows_per_list, probes, seed)
-    measured = np.random.default_rng(seed + 1).permutation(len(sample))[:MEASURED]
-    lists.margin = measured_margin(rows, lists, sample[measured], dimension, k, least)
-    lists.cut(sample, n)
-    return neighbours_of(rows, lists, dimension, k, least, ["list", "ib", "qb"]).drop("grp")
-
-
-def neighbours_of(rows: DataFrame, lists: Lists, dimension: int, k: int, least: float, cell: list[str]) -> DataFrame:
+    columns = dict.fromkeys([id_col, vector_col, *([order_col] if order_col else [])])
+    clean = newest_rows(df.where(F.col(id_col).isNotNull()).select(*columns), id_col, order_col, [vector_col])
+    rows = durable(usable_vectors(clean.select(F.lit(0).alias("grp"), F.col(id_col).alias("rid"), F.col(vector_col).alias("vector")), "vector", dimension))
+    if exact:
+        n = rows.count()
+        lists = fit_lists(np.zeros((0, dimension), np.float32), n, n + 1, 1, seed)
+        lists.index_blocks = lists.query_blocks = np.maximum(1, np.ceil(np.full(1, n / BLOCK_ROWS))).astype(np.int64)
+        strictness = np.inf
+    else:
+        lists = index_of(rows, dimension, k, least, rows_per_list, probes, seed)
+    return neighbours_of(rows, lists, dimension, k, least, ["list", "ib", "qb"], strictness).drop("grp")
+
+
+def neighbours_of(rows: DataFrame, lists: Lists, dimension: int, k: int, least: float, cell: list[str], strictness: float = STRICTNESS) -> DataFrame:
     """``(grp, id, near)``: the ``k`` most similar rows of each row ``(grp, rid, v)`` among those that share a cell with it."""
     kinds = dict(rows.dtypes)
     rotation = lists.rotation
 
     def search(table: pa.Table) -> pa.Table:
         ids, role, vectors = distinct_rows(table, dimension)
-        row, other, score = search_block(ids, role, vectors, rotation, k, least)
+        row, other, score = search_block(ids, role, vectors, rotation, k, least, strictness)
         starts = np.r_[0, np.nonzero(np.diff(row))[0] + 1] if len(row) else np.zeros(0, np.int64)
         kind = table.schema.field("rid").type
         pairs = pa.StructArray.from_arrays([pa.array(score), pa.array(ids[other], kind)], names=["similarity", "id"])
