@@ -2,9 +2,9 @@
 
 Each word owns, for each register, a Poisson process on (0, time) x (0, weight]. The register of a
 record is the first arrival among the points that lie below the weights of its words. Weights are
-rounded down to a grid; the process on the whole grid is split by halves, and only the halves on
-the way to a word's weight are ever generated: by the lack of memory of the exponential law, the
-half without the first arrival has its own first arrival an exponential time later.
+rounded down to a grid; the process on the whole grid is split in two, the lowest step apart from the rest, and the rest
+again, and only the parts on the way to a word's weight are ever generated, which are few, as most words occur once or twice. By the lack of memory of the exponential law, the
+part without the first arrival has its own first arrival an exponential time later.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ class BagMinHash:
             rows, first = rows[~whole], first[~whole]
             if not len(rows) or high - low == 1:
                 continue
-            middle = (low + high) // 2
+            middle = low + 1
             rate_low, rate_high = edges[middle] - edges[low], edges[high] - edges[middle]
             later, place = self._waits(words[rows], registers, node, 1), self._random(words[rows], registers, node + 1_000_000, 0)
             in_low = place < rate_low / (rate_low + rate_high)

@@ -28,6 +28,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return record_pairs(*near_duplicates(table(spark, folder, "opensearch"), order_col="indexed_at"))
 
 
+def p1_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records that share at least 0.7 of their words, repetitions counted."""
+    return record_pairs(*near_duplicates(table(spark, folder, "opensearch"), order_col="indexed_at", multiset=True))
+
+
 def p2_select(spark: SparkSession, folder: str) -> DataFrame:
     """As many varied rows of each session as it evaluates in an iteration."""
     found = varied_subset(table(spark, folder, "active_learner"), table(spark, folder, "sessions"))

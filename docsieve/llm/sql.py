@@ -38,4 +38,11 @@ SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r""",
 WITH d AS {_ROWS}
 SELECT min(b.frame_id) AS first_frame_id, a.frame_id FROM d a JOIN d b ON a.session_id = b.session_id AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.85
 GROUP BY a.frame_id HAVING min(b.frame_id) < a.frame_id""",
+    "p1_weighted": rf"""
+WITH t AS (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', name, text)), '[\p{{L}}\p{{N}}]+')) AS w FROM ({_NEWEST}) WHERE len({_WORDS}) >= 8),
+n AS (SELECT id, w, count(*) AS c FROM t GROUP BY ALL),
+d AS (SELECT id, list(w || '#' || o) AS w FROM (SELECT id, w, unnest(range(c)) AS o FROM n) GROUP BY id),
+pairs AS (SELECT a.id AS id_a, b.id AS id_b, len(a.w) AS na, len(b.w) AS nb, len(list_intersect(a.w, b.w)) AS c
+          FROM d a JOIN d b ON a.id < b.id AND len(a.w) >= 0.7 * len(b.w) - 1e-9 AND len(b.w) >= 0.7 * len(a.w) - 1e-9)
+SELECT id_a, id_b FROM pairs WHERE c / (na + nb - c)::double >= 0.7 - 1e-9""",
 }

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsieve.llm import leaks as leaks_module
+from docsieve.llm import neardup as neardup_module
 from docsieve.llm.bagminhash import GRID, BagMinHash
 from docsieve.llm.copies import collapse_copies
 from docsieve.llm.leaks import leaks
@@ -60,6 +61,26 @@ def test_near_duplicates_against_brute_force(spark, multiset):
     assert len(want - got) <= 0.01 * len(want) and len(want) > 100
 
 
+def test_hot_bands_and_hot_classes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(neardup_module, "HOT_ROWS", 20)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    rows = [(f"h{i:03}", "", " ".join(base[: 59 - i % 3] + [f"x{i}"])) for i in range(90)] + [(f"s{i:03}", " ".join(base), " " * i) for i in range(40)]
+    rows += [(f"o{i:03}", "", " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(60)]
+    df = docs(spark, rows)
+    found = record_pairs(*near_duplicates(df.repartition(3))).collect()
+    assert neardup_module.hot_bands(neardup_module.word_classes(df, "id", ["text"], None, 8, False), BagMinHash(216, neardup_module.DAMPED), 36, 6) is not None
+    assert len(found) == len(set(found)) and {(r["id_a"], r["id_b"]) for r in found} == truth(rows, 0.7)
+
+
+def test_equal_sets_with_other_counts_are_one_class(spark):
+    words = " ".join(f"a{i}" for i in range(20))
+    df = docs(spark, [("x", "", words), ("y", words, " ".join([words] * 9))])
+    assert [tuple(r) for r in record_pairs(*near_duplicates(df)).collect()] == [("x", "y")]
+    assert record_pairs(*near_duplicates(df, multiset=True)).count() == 0
+
+
 def test_near_duplicates_take_the_newest_version(spark):
     words = " ".join(f"a{i}" for i in range(20))
     rows = [("x", words, "2025-01-01"), ("x", "gone", "2025-01-02"), ("y", words, "2025-01-01"), ("z", words, "2025-01-01"), (None, words, None)]
