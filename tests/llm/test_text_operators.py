@@ -14,7 +14,7 @@ from docsieve.llm.copies import collapse_copies
 from docsieve.llm.leaks import leaks
 from docsieve.llm.neardup import near_duplicates, record_pairs
 from docsieve.llm.packing import Bins, packed_containers, token_counts
-from docsieve.llm.spam import spam_pages, spam_share
+from docsieve.llm.spam import label_of, learned, spam_pages, spam_share
 from docsieve.llm.text import words_of
 
 SCHEMA = "id string, name string, text string, at timestamp, h long, n int, w string, key string, rid string"
@@ -223,6 +223,39 @@ def test_leaks_with_edits_against_alignment(spark):
     assert {(r["doc"], r["item"]) for r in found} == want and len(want) > 15
 
 
+# Prose in languages that the tables do not have, and notes without sentences.
+PROSE = {
+    "ru": "Вчера вечером мы долго гуляли по набережной, и ветер с реки был холодным, но никто не хотел возвращаться домой. Старый рыбак сидел у воды и рассказывал детям о том, как раньше здесь ходили большие пароходы. Потом начался дождь, и все побежали к остановке, где уже стояло много людей.",
+    "pl": "W zeszłym roku pojechaliśmy nad morze, ponieważ dzieci chciały zobaczyć latarnię, o której czytały w szkole. Pogoda była zmienna, ale prawie codziennie chodziliśmy na plażę i zbieraliśmy muszle. Wieczorami dziadek opowiadał nam historie o rybakach, którzy kiedyś mieszkali w tym domu.",
+    "fi": "Eilen kävimme vanhassa kirjastossa, jossa oli paljon kirjoja ja hiljaisia nurkkia lukemiseen. Kirjastonhoitaja kertoi meille, että rakennus on yli sata vuotta vanha ja että sen katto korjattiin viime kesänä. Kotimatkalla alkoi sataa lunta, mutta lapset olivat iloisia, koska he saivat vihdoin laskea mäkeä.",
+    "it": "Ieri pomeriggio siamo andati a trovare la nonna, che abita in una casa piccola vicino al fiume. Mentre lei preparava il caffè, mio fratello guardava dalla finestra gli uccelli che passavano sopra i tetti. Quando è arrivata la sera, nessuno voleva tornare in città, perché lì si stava troppo bene.",
+    "note": "Background: chronic kidney disease, older adults, limited evidence. Methods: retrospective cohort study, 412 patients, two hospitals, median follow-up 38 months. Results: lower mortality, fewer readmissions, better adherence after structured discharge planning. Conclusion: early outpatient review probably beneficial; randomised trials needed.",
+}
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_prose_in_other_languages_is_no_spam(spark, labelled):
+    rng = random.Random(2)
+    nouns, verbs = ["library", "garden", "painter", "council", "bridge", "letter", "museum", "ferry"], ["opened", "sold", "painted", "moved", "described"]
+    sentence = lambda: f"The {rng.choice(nouns)} of the {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)}, because it was late and nobody had asked for the {rng.choice(nouns)}."
+    rows = [(i, " ".join(sentence() for _ in range(rng.randint(1, 8))), "en") for i in range(200)]
+    rows += [(1_000 + i, text, ("en" if name == "note" else name) if labelled else None) for i, (name, text) in enumerate(PROSE.items())]
+    menu = "Главная | Контакты | Корзина | Хлеб | Главная | Помощь | Хлеб | Контакты | Корзина | Главная | Хлеб | Помощь"
+    links = " ".join(f"https://shop.example/kauppa/{i} leipä" for i in range(20))
+    rows += [(2_000, menu, "ru" if labelled else None), (2_001, links, "fi" if labelled else None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["id"] for r in spam_pages(df).collect()} == {2_000, 2_001}
+
+
+def test_function_words_are_learned(spark):
+    rng = random.Random(7)
+    nouns = [f"noun{i}" for i in range(6)]
+    rows = [(i, f"ka {rng.choice(nouns)} lo ka {rng.choice(nouns)} mi ka {rng.choice(nouns)} na ka {rng.choice(nouns)}.", "xx-YY") for i in range(80)] + [(99, "zu zu", "yy")]
+    own = learned(spark.createDataFrame(rows, "id long, t string, l string").select("id", label_of(F.col("l")).alias("label"), "t"))
+    assert own.names == ["xx"] and "ka" in own.function[0] and not own.function[0] & set(nouns) and own.vocabulary[0] >= {"ka", "noun1"}
+    assert learned(spark.createDataFrame(rows[-1:], "id long, t string, l string").select("id", F.lit("yy").alias("label"), "t")).names == []
+
+
 def test_spam(spark):
     rng = random.Random(1)
     nouns, verbs, places = ["library", "garden", "painter", "council", "bridge", "letter", "museum", "ferry"], ["opened", "sold", "painted", "moved", "described"], ["Torvik", "Halmor", "Sildel", "Penve"]
