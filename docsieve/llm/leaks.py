@@ -23,6 +23,8 @@ from docsieve.llm.text import mixed, words_of
 ITEM_CHARS = 8_000_000
 #: A q-gram with more places than this among the passages is counted only where a run has too few others.
 COMMON = 8
+#: Runs of regions that are counted at once.
+PAIRS_AT_ONCE = 2_000_000
 #: Characters of documents that are searched at once.
 BATCH_CHARS = 2_000_000
 SPACE, BREAK = 32, 10
@@ -165,16 +167,27 @@ def search(own: Passages, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     count = np.diff(np.r_[begin, len(item)])
     enough = count >= own.item_bound[item[begin]]
     begin, count = begin[enough], count[enough]
+    if not len(begin):
+        return none
+    # of a region's runs only those that its q-grams touch; runs ascend over all passages
+    region = np.repeat(np.arange(len(begin)), count)
+    mine = place[np.repeat(begin, count) + np.arange(len(region)) - np.repeat(np.cumsum(count) - count, count)]
+    low, high = np.searchsorted(own.run_to, place[begin] + own.q), np.searchsorted(own.run_from, place[begin + count - 1], side="right")
+    wide = np.int64(len(own.text) + 1)
+    key = region * wide + mine
     runs, shifts = [], []
-    for b, c in zip(begin.tolist(), count.tolist(), strict=True):
-        i = item[b]
-        mine = place[b : b + c]
-        low, high = own.item_runs[i], own.item_runs[i + 1]  # of the item's runs only those that the region's q-grams touch
-        r = np.arange(low + np.searchsorted(own.run_to[low:high], mine[0] + own.q), low + np.searchsorted(own.run_from[low:high], mine[-1], side="right"))
-        shared = np.searchsorted(mine, own.run_to[r] - own.q + 1) - np.searchsorted(mine, own.run_from[r])
-        r = r[shared >= own.run_bound[r]]
-        runs.append(r), shifts.append(np.full(len(r), band[b] * width - len(own.text)))
-    if not runs or not sum(map(len, runs)):
+    ends = np.cumsum(np.maximum(high - low, 0))
+    step = 0
+    while step < len(begin):  # a bounded number of runs at a time
+        till = max(step + 1, int(np.searchsorted(ends, (ends[step - 1] if step else 0) + PAIRS_AT_ONCE)))
+        many = np.maximum(high[step:till] - low[step:till], 0)
+        r = np.repeat(low[step:till], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        g = np.repeat(np.arange(step, till), many)
+        shared = np.searchsorted(key, g * wide + own.run_to[r] - own.q + 1) - np.searchsorted(key, g * wide + own.run_from[r])
+        keep = shared >= own.run_bound[r]
+        runs.append(r[keep]), shifts.append(band[begin[g[keep]]] * width - len(own.text))
+        step = till
+    if not sum(map(len, runs)):
         return none
     run, shift = np.concatenate(runs), np.concatenate(shifts)
     edits = np.concatenate([aligned(own, run[k : k + 20_000], text, shift[k : k + 20_000] + own.edits, 2 * own.edits) for k in range(0, len(run), 20_000)])
