@@ -25,8 +25,8 @@ SKETCH_BITS = 128
 DAMPED = (1.0, 1.5, 2.0)
 #: Word hashes that a worker remembers.
 MOST_WORDS = 1_000_000
-#: Rows of a band, or copies of a class, from which on its pairs are spread over SALTS tasks.
-HOT_ROWS, SALTS = 2_000, 32
+#: Rows of a band, or copies of a class, from which on its pairs (50 million) are spread over SALTS tasks.
+HOT_ROWS, SALTS = 10_000, 32
 #: Share of the classes, and their number at most, in which hot bands are looked for, and how often such a band must be seen there.
 HOT_SAMPLE, MOST_SAMPLED, SEEN = 0.05, 1_000_000, 16
 #: Hot bands up to which they are broadcast.
@@ -185,7 +185,7 @@ def near_duplicates(
     a, b = (banded.select("k", *[F.col(c).alias(c + side) for c in ("h", "n", "s0", "s1")]) for side in "ab")
     found = a.join(b, "k").where(alike).select("ha", "hb")
     if hot is not None:
-        found = found.unionByName(spread_pairs(once(made.join(hot, "k", "left_semi")), "k", alike, ["h", "n", "s0", "s1"]).select("ha", "hb"))
+        found = found.unionByName(spread_pairs(durable(once(made.join(hot, "k", "left_semi"))), "k", alike, ["h", "n", "s0", "s1"]).select("ha", "hb"))
     candidates = found.repartition("ha").distinct()
 
     items = F.flatten(F.zip_with("w", "c", lambda w, c: F.transform(F.sequence(F.lit(1), c), lambda o: F.hash(w, o)))) if multiset else F.col("w")
