@@ -27,7 +27,7 @@ SAMPLE, MOST_SAMPLE = 16_384, 524_288
 #: Lists from which on they are found by way of cells, and cells that a vector looks into.
 FLAT_LISTS, CELLS_LOOKED_INTO = 4_096, 12
 #: Rows that one task takes from a list, as candidates and as queries, about.
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8_192
 #: Queries that are held against all rows to measure recall, and the share of their neighbours that must lie in the lists probed.
 MEASURED = 512
 TARGET = 0.98
