@@ -249,8 +249,9 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
             own = shared.value
 
             def flush(docs: pa.Array, texts: list[str]) -> pa.RecordBatch:
-                whole = characters("\n".join(texts))
-                starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+                apart = "\n" * (own.edits + 1)  # too many characters for a run to reach into the next text
+                whole = characters(apart.join(texts))
+                starts = np.cumsum([0] + [len(t) + len(apart) for t in texts[:-1]])
                 run, place, cost = search(own, whole)
                 exact = whole_words(own, run, place, cost, whole)
                 middle = place + own.edits + (own.run_to[run] - own.run_from[run]) // 2

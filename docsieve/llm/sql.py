@@ -45,4 +45,17 @@ d AS (SELECT id, list(w || '#' || o) AS w FROM (SELECT id, w, unnest(range(c)) A
 pairs AS (SELECT a.id AS id_a, b.id AS id_b, len(a.w) AS na, len(b.w) AS nb, len(list_intersect(a.w, b.w)) AS c
           FROM d a JOIN d b ON a.id < b.id AND len(a.w) >= 0.7 * len(b.w) - 1e-9 AND len(b.w) >= 0.7 * len(a.w) - 1e-9)
 SELECT id_a, id_b FROM pairs WHERE c / (na + nb - c)::double >= 0.7 - 1e-9""",
+    "p7_edited": r"""
+WITH texts AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL
+     UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items WHERE item_id IS NOT NULL),
+word AS (SELECT kind, id, generate_subscripts(w, 1) AS k, unnest(w) AS word FROM texts),
+spot AS (SELECT kind, id, k, 1 + coalesce(sum(length(word) + 1) OVER (PARTITION BY kind, id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+     word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o AS gram, length(word) AS n FROM word WINDOW o AS (PARTITION BY kind, id ORDER BY k)),
+whole AS (SELECT kind, id, array_to_string(w, ' ') AS t FROM texts),
+run AS (SELECT a.id AS item_id, substring(t, a.pos::bigint, (z.pos + z.n - a.pos)::bigint) AS run, a.k, a.pos FROM spot a JOIN spot z ON a.kind = 'i' AND z.kind = 'i' AND a.id = z.id AND z.k = a.k + 11 JOIN whole w ON w.kind = 'i' AND w.id = a.id),
+probe AS (SELECT item_id, run, gram, g.pos - run.pos AS shift FROM run JOIN spot g ON g.kind = 'i' AND g.id = item_id AND g.k IN (run.k + 1, run.k + 7)),
+start AS (SELECT DISTINCT d.id AS doc_id, item_id, run, (d.pos - shift)::bigint AS pos FROM probe JOIN spot d ON d.kind = 'd' AND d.gram = probe.gram),
+tried AS (SELECT doc_id, item_id, levenshtein(run, substring(t, greatest(1, pos + s), length(run) + l)) AS edits
+     FROM start JOIN whole w ON w.kind = 'd' AND w.id = doc_id, (SELECT unnest([-1, 0, 1]) AS s), (SELECT unnest([-1, 0, 1]) AS l) WHERE pos + s >= 1)
+SELECT doc_id, item_id, min(edits)::int AS edits FROM tried WHERE edits <= 1 GROUP BY ALL""",
 }

@@ -181,6 +181,13 @@ def test_leaks_of_ids_of_other_types(spark):
     assert [(r["doc"], str(r["item"]), r["whole"]) for r in leaks(df, items).collect()] == [("d", "2025-01-01", True)]
 
 
+def test_a_run_does_not_reach_into_the_next_document(spark):
+    words = [f"w{i}" for i in range(14)]
+    df = spark.createDataFrame([(1, " ".join(words[:7])), (2, " ".join(words[7:]))], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
+    assert leaks(df, items, edits=1).count() == 0 and leaks(df, items, edits=2).count() == 0
+
+
 def test_a_long_leaked_passage_is_searched_in_no_time():
     rng = random.Random(3)
     text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5_000))
