@@ -27,8 +27,8 @@ DAMPED = (1.0, 1.5, 2.0)
 MOST_WORDS = 1_000_000
 #: Rows of a band, or copies of a class, from which on its pairs (50 million) are spread over SALTS tasks.
 HOT_ROWS, SALTS = 10_000, 32
-#: Share of the classes, and their number at most, in which hot bands are looked for, and how often such a band must be seen there.
-HOT_SAMPLE, MOST_SAMPLED, SEEN = 0.05, 1_000_000, 16
+#: Share of the classes, and their number at least and at most, in which hot bands are looked for, and how often such a band must be seen there.
+HOT_SAMPLE, LEAST_SAMPLED, MOST_SAMPLED, SEEN = 0.05, 4_000, 1_000_000, 16
 #: Hot bands up to which they are broadcast.
 BROADCAST_KEYS = 100_000
 
@@ -121,7 +121,7 @@ def hot_bands(classes: DataFrame, hashing: BagMinHash, bands: int, rows: int) ->
     """
     known = classes.where("w is not null")
     number = known.count()
-    share = min(1.0, HOT_SAMPLE, MOST_SAMPLED / max(1, number)) if number * HOT_SAMPLE > HOT_ROWS else 1.0
+    share = min(1.0, max(LEAST_SAMPLED, min(MOST_SAMPLED, number * HOT_SAMPLE)) / max(1, number))
     part = known.where(F.pmod(F.xxhash64(F.lit("sample"), "h"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)) if share < 1 else known
     if number <= HOT_ROWS:
         return None
