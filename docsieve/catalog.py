@@ -367,6 +367,13 @@ def select_stratified_diverse(spark, folder):
     return sampling.stratified_diverse(rows, 20).select("id", "zone", "pick")
 
 
+def select_within_zones(spark, folder):
+    """For each zone: whether its picks are different rows of the zone and keep its budget."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", V.linear_score("embedding", WEIGHTS).alias("prediction"))
+    found = sampling.stratified_diverse(rows, 20)
+    return found.groupBy("zone").agg((F.countDistinct("id") == F.count(F.lit(1))).alias("different"), F.bool_and(sampling.zone_of("prediction") == F.col("zone")).alias("in_zone"), (F.count(F.lit(1)) <= F.max(sampling.budget_of(F.col("zone"), F.lit(20)))).alias("in_budget"))
+
+
 def _learner(spark, folder, n_iterations=15):
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("type"), "text")
     embedder = HashEmbedder()
@@ -413,7 +420,7 @@ QUERIES = [
     search_each, search_single, search_fused, search_filtered_padded, search_prefiltered, search_by_text,
     hash_embed, format_documents, number_texts, normalize_query, preview, fill_prompt,
     results_sorted, results_head, run_statistics, result_documents, flip_rate_sets,
-    lr_fit_predict, lr_gradient, select_stratified_diverse, active_learning_loop, loop_first_labels, loop_invariants, dataset_round_trip,
+    lr_fit_predict, lr_gradient, select_stratified_diverse, select_within_zones, active_learning_loop, loop_first_labels, loop_invariants, dataset_round_trip,
 ]
 
 

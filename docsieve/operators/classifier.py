@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions.vector import doubles, is_finite
-from docsieve.operators.labels import class_weights
 from docsieve.schema import POSITIVE
 
 #: Training values (rows times columns) up to which the solver runs on the driver.
@@ -78,20 +77,20 @@ class BalancedLogisticRegression(Classifier):
         self.model: LogisticRegressionModel | None = None
 
     def fit(self, rows: DataFrame, vector_col: str = "embedding", label_col: str = "gt") -> BalancedLogisticRegression:
-        weights = {r[label_col]: (r["rows"], r["weight"]) for r in class_weights(rows, [], label_col).collect()}
-        if len(weights) < 2:
-            raise ValueError("both classes are needed")
-        n = sum(count for count, _ in weights.values())
         label = F.col(label_col)
         known = rows.where(label.isNotNull())
-        dimension = known.agg(F.max(F.size(vector_col))).first()[0]
+        counts = {r[label_col]: (r["rows"], r["d"]) for r in known.groupBy(label_col).agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vector_col)).alias("d")).collect()}
+        if len(counts) < 2:
+            raise ValueError("both classes are needed")
+        n, dimension = sum(count for count, _ in counts.values()), max(d for _, d in counts.values())
+        weights = {y: n / (2 * count) for y, (count, _) in counts.items()}
         if n * dimension <= SMALL:
             got = known.select(doubles(vector_col).alias("v"), label.cast("boolean").alias("y")).toArrow()
             y = got.column("y").to_numpy(zero_copy_only=False).astype(bool)
             x = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), dimension)
-            self.model = model_of(rows.sparkSession, *newton(x, y, np.where(y, weights[True][1], weights[False][1]), self.c, self.tol))
+            self.model = model_of(rows.sparkSession, *newton(x, y, np.where(y, weights[True], weights[False]), self.c, self.tol))
             return self
-        ready = known.select(array_to_vector(doubles(vector_col)).alias("features"), label.cast("double").alias("label"), F.when(label, weights[True][1]).otherwise(weights[False][1]).alias("weight"))
+        ready = known.select(array_to_vector(doubles(vector_col)).alias("features"), label.cast("double").alias("label"), F.when(label, weights[True]).otherwise(weights[False]).alias("weight"))
         self.model = LogisticRegression(regParam=1 / (self.c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=self.max_iter, tol=self.tol).fit(ready)
         return self
 

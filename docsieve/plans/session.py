@@ -7,6 +7,7 @@ import time
 from dataclasses import dataclass, field
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ class ActiveLearner:
         done = 0
 
         def label_frame() -> DataFrame:
-            return F.broadcast(spark.createDataFrame(list(labels.items()), "id string, gt boolean"))  # as many rows as were evaluated
+            return F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(list(labels), pa.string()), "gt": pa.array(list(labels.values()), pa.bool_())})))  # as many rows as were evaluated
 
         def open_rows(rows: DataFrame) -> DataFrame:
             return rows.join(label_frame(), "id", "left_anti") if labels else rows
@@ -129,7 +130,7 @@ class ActiveLearner:
             if all(labels.values()):
                 say(f"iteration {iteration}: only one class, skipped")
                 continue
-            training = spark.createDataFrame([(vectors[i], v) for i, v in labels.items()] + [(v, True) for v in examples], "embedding array<double>, gt boolean")
+            training = spark.createDataFrame(pa.table({"embedding": pa.array([vectors[i] for i in labels] + examples, pa.list_(pa.float64())), "gt": pa.array([*labels.values(), *[True] * len(examples)], pa.bool_())}))
             before, model = model, self.classifier().fit(training)
             if before is not None:  # both models on the same rows: no set is kept, and nothing is joined
                 both = model.predict(before.predict(corpus.select("id", "embedding")).withColumnRenamed("prediction", "before"))
