@@ -42,7 +42,7 @@ def sessions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    return newest(table(spark, folder, "evaluations"), ["eval_id"], "replied_at")
+    return newest(table(spark, folder, "evaluations"), ["eval_id"], "replied_at", wide=False)
 
 
 # --- sources -------------------------------------------------------------------------------------------------------

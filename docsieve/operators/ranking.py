@@ -21,7 +21,8 @@ def centroids(rows: DataFrame, by: list[str], vector_col: str = "embedding", dim
 
 def with_distance(rows: DataFrame, centres: DataFrame, by: list[str], vector_col: str = "embedding", dimension: int = 128, name: str = "distance") -> DataFrame:
     """``rows`` with a usable vector and their Euclidean distance to the centroid of their group; the vectors are not normalised."""
-    centres = F.broadcast(centres) if centres.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else centres
+    centres = durable(centres)
+    centres = F.broadcast(centres) if centres.count() <= BROADCAST_GROUPS else centres
     return rows.where(is_usable(vector_col, dimension)).join(centres, by).withColumn(name, distance(vector_col, "centroid")).drop("centroid")
 
 

@@ -84,8 +84,8 @@ def fit_centres(x: np.ndarray, k: int, seed: int, starts: int = 3, rounds: int =
         made = np.array(centres)
         for _ in range(rounds):
             home = nearest_centre(x, made)
-            sums, count = np.zeros_like(made), np.bincount(home, minlength=k)
-            np.add.at(sums, home, x)
+            count = np.bincount(home, minlength=k)
+            sums = (np.arange(k)[:, None] == home[None]).astype(float) @ x
             new = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], made)
             if np.allclose(new, made, atol=1e-9):
                 break

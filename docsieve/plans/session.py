@@ -90,6 +90,9 @@ class ActiveLearner:
         if centre is None or centre["centroid"] is None:
             raise ValueError("the examples have no direction in common")
         gap = F.round(distance("embedding", F.array(*[F.lit(x) for x in centre["centroid"]])), 12)  # so that equal distances tie
+        cores = spark.sparkContext.defaultParallelism
+        if known.rdd.getNumPartitions() < cores:  # a few small files are spread over all cores, as every iteration reads them
+            known = known.repartition(cores)
         marked = known.withColumn("__fits", is_finite("embedding", dimension)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             corpus = marked.where("__fits").drop("__fits").withColumn("distance_to_centroid", gap)

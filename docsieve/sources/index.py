@@ -10,6 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsieve.plans.durable import durable
+
 # Fixed value: the fields of an indexed document.
 COLUMNS = ("id", "type", "name", "text", "embedding")
 
@@ -97,8 +99,8 @@ def newest(df: DataFrame, key: list[str], order: str, wide: bool | None = None)
 
     if not (any(kind.startswith("array") for _, kind in df.dtypes) if wide is None else wide):
         return collapsed(rows)
-    repeated = rows.groupBy(*key).count().where("count > 1").select(*key)
-    number = repeated.limit(BROADCAST_KEYS + 1).count()
+    repeated = durable(rows.groupBy(*key).count().where("count > 1").select(*key))
+    number = repeated.count()
     if number > BROADCAST_KEYS:
         return collapsed(rows)
     repeated = F.broadcast(repeated)
