@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -18,6 +19,27 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+@cache
+def word_points() -> np.ndarray:
+    """For each code point, whether words consist of it."""
+    inside = np.zeros(0x110000, bool)
+    for m in WORD.finditer("".join(map(chr, range(0x110000)))):
+        inside[m.start() : m.end()] = True
+    return inside
+
+
+def words_at(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of texts in lower case, as ``WORD`` finds them, one text after the other; where each begins in its text; the number of words of each text."""
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    inside = word_points()[points]
+    points[~inside] = 32
+    words = points.tobytes().decode("utf-32-le", "surrogatepass").split()
+    starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    owner = np.searchsorted(begins, starts, side="right") - 1
+    return words, starts - begins[owner], np.bincount(owner, minlength=len(texts))
+
+
 class WordHashes(dict):
     """64-bit hash of each word seen, computed once per distinct word."""
 

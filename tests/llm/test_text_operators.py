@@ -15,7 +15,7 @@ from docsieve.llm.leaks import leaks
 from docsieve.llm.neardup import near_duplicates, record_pairs
 from docsieve.llm.packing import Bins, packed_containers, token_counts
 from docsieve.llm.spam import label_of, learned, spam_pages, spam_share
-from docsieve.llm.text import words_of
+from docsieve.llm.text import WORD, words_at, words_of
 
 SCHEMA = "id string, name string, text string, at timestamp, h long, n int, w string, key string, rid string"
 
@@ -263,6 +263,47 @@ def test_function_words_are_learned(spark):
     assert learned(spark.createDataFrame(rows[-1:], "id long, t string, l string").select("id", F.lit("yy").alias("label"), "t")).names == []
 
 
+def test_languages_are_learned_from_all_rows(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60_000):
+        late = i >= 45_000  # words that are frequent on the whole, but not in every part of the table
+        words = [f"{rng.choice('abcdef')}{rng.randrange(40)}" for _ in range(4)] + ["lo"] * (rng.random() < 0.5)
+        words += ["ka", "mi"] if rng.random() < (0.2 if late else 0.012) else ["mi"] if rng.random() < 0.01 else []
+        words += [f"x{rng.randrange(9)}", "mi"] if late and rng.random() < 0.12 else []
+        rows.append((" ".join(words), "aa" if i % 10 else "bb"))
+    rows[7::1200] = [(f"zu {i} tak zu", "rare") for i in range(50)]
+    own = learned(spark.createDataFrame(rows, "t string, label string").withColumn("id", F.lit(1)).coalesce(1))
+    texts, words, pairs = Counter(label for _, label in rows), Counter(), Counter()
+    for text, label in rows:
+        found = words_of(text)
+        words.update((label, w) for w in set(found))
+        pairs.update((label, w, before) for w, before in zip(found[1:], found, strict=False))
+    share = {(label, w): n / texts[label] for (label, w), n in words.items() if n > 1}
+    most, every = Counter(), Counter()
+    for (label, w, _), n in pairs.items():
+        most[label, w], every[label, w] = max(most[label, w], n), every[label, w] + n
+    highest = {w: max(x for (_, v), x in share.items() if v == w) for _, w in share}
+    function = {k for k, x in share.items() if x >= 0.04 and x * 3 >= highest[k[1]] and most[k] < 0.5 * max(1, every[k]) and not k[1].isdigit()}
+    assert own.names == ["aa", "bb", "rare"]
+    assert {(name, w) for name, f in zip(own.names, own.function, strict=True) for w in f} == function
+    assert {(name, w) for name, v in zip(own.names, own.vocabulary, strict=True) for w in v} == set(share)
+
+
+def test_language_codes(spark):
+    codes = {"en": "en", "EN-us": "en", "eng": "en", "ger": "de", "deu": "de", "gre-x": "el", "spa": "es", "est": "et", "fra": "fr", "und": "", "mul-x": "", None: "", "xx-YY": "xx", "german": "ge"}
+    df = spark.createDataFrame([(c, want) for c, want in codes.items()], "code string, want string").withColumn("label", label_of(F.col("code")))
+    assert [(r["code"], r["label"]) for r in df.collect()] == list(codes.items())
+
+
+def test_words_at():
+    texts = ["", "_a_b", "ΟΔΟΣ ΟΔΟΣ. Σ", "İstanbul ²½Ⅷ 一二 x\u0301y \x1c\x85a b\n\nc", "𝒳𝟙 é_é", "\n", "a"]
+    lower = [t.lower() for t in texts]
+    words, starts, sizes = words_at(lower)
+    assert words == [w for t in texts for w in words_of(t)] and sizes.tolist() == [len(words_of(t)) for t in texts]
+    assert starts.tolist() == [m.start() for t in lower for m in WORD.finditer(t)]
+
+
 def test_spam(spark):
     rng = random.Random(1)
     nouns, verbs, places = ["library", "garden", "painter", "council", "bridge", "letter", "museum", "ferry"], ["opened", "sold", "painted", "moved", "described"], ["Torvik", "Halmor", "Sildel", "Penve"]
